@@ -76,7 +76,7 @@ def greedy_starts(sizes: np.ndarray, caps: list[int], batch_rows: int, carried:
     return starts, (rows, used)
 
 
-def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets: dict[str, int], batch_rows: int) -> DataFrame:
+def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets: dict[str, int], batch_rows: int, carry: tuple | None = None) -> DataFrame:
     """``df`` with ``batch``: greedy filling by rows and by bytes of the variable-length columns, per ``within`` group.
 
     Greedy filling is a fold over the rows of one interval: where a batch starts depends on where the one before it
@@ -84,7 +84,8 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
     consecutive rows, packed into one binary row each, and the fold walks over the slices of an interval in order; only
     the batch starts come back, as ranges of positions. The fold is sequential per interval, but reads ~4 bytes a row
     and column and jumps from batch to batch. StateError if one value exceeds its column's budget; a null value takes
-    no bytes; an empty table gives no rows.
+    no bytes; an empty table gives no rows. ``carry``: (value of the only ``within`` column, rows, bytes per column) of
+    a batch that is open already; rows of that group go on in it as batch 0.
     """
     caps, columns = list(budgets.values()), list(budgets)
     ranked = stage(positions(df, order, within), "budget")
@@ -101,7 +102,8 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
     out = T.StructType([df.schema[c] for c in within] + [T.StructField("batch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        starts, carried, base = [], (0, []), 0
+        goes_on = carry is not None and pdf[within[0]].iloc[0] == carry[0]
+        starts, carried, base = [], (carry[1], list(carry[2])) if goes_on else (0, []), 0
         for sizes in pdf.sort_values("slice")["sizes"]:
             part = np.stack(sizes).astype(np.int64)
             new, carried = greedy_starts(part, caps, batch_rows, carried)
@@ -110,7 +112,10 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
             if carried[0] == batch_rows:
                 carried = (0, [])
         first = np.concatenate(starts)
-        result = pd.DataFrame({"batch": np.arange(len(first)), "first": first, "last": np.append(first[1:], base) - 1})
+        number = np.arange(len(first)) + goes_on
+        if goes_on and (not len(first) or first[0] > 0):
+            first, number = np.append(0, first), np.append(0, number)
+        result = pd.DataFrame({"batch": number, "first": first, "last": np.append(first[1:], base) - 1})
         for c in within:
             result[c] = pdf[c].iloc[0]
         return result[[*within, "batch", "first", "last"]]
