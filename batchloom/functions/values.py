@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, functions as F
 
 LENGTH_MASK = (1 << 63) - 1
@@ -44,13 +46,13 @@ def unsigned(value: Column, bits: int) -> Column:
     """The unsigned reading of a signed integer of 8, 16, 32 or 64 bits, in a type that holds it."""
     if bits == 64:
         wide = value.cast("decimal(20,0)")
-        return F.when(value < 0, wide + F.lit(1 << 64).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
+        return F.when(value < 0, wide + F.lit(Decimal(1 << 64)).cast("decimal(20,0)")).otherwise(wide).cast("decimal(20,0)")
     return F.pmod(value.cast("bigint"), F.lit(1 << bits))
 
 
 def decimal_from_halves(low: Column, high: Column, scale: int) -> Column:
     """DECIMAL(38, scale) of the 128-bit number high * 2**64 + unsigned(low); null beyond 38 digits."""
-    wide = F.try_multiply(high.cast("decimal(19,0)"), F.lit(1 << 64).cast("decimal(20,0)"))
+    wide = F.try_multiply(high.cast("decimal(19,0)"), F.lit(Decimal(1 << 64)).cast("decimal(20,0)"))
     whole = F.try_add(wide.cast("decimal(38,0)"), unsigned(low, 64))
     # The point is set in the digits, as a division would round.
     digits = F.lpad(F.abs(whole).cast("string"), 39, "0")
