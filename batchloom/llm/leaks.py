@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..staging import stage
 from .words import WordHashes, words
 
 RUN = 13
@@ -33,17 +34,39 @@ PASSAGE = 32  # words of a TF-IDF passage
 SIZES = (1, 2, 3, 5, 7)  # window sizes in words, for runs of at least 1, 3, 5, 9 and 13 words
 COSINE = 0.9999
 BATCH_CHARS = 2_000_000
+BATCH_WORDS = 400_000
 BLOCK_WINDOWS = 200_000  # item windows broadcast at once
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
-    """(ids, texts) of at most about BATCH_CHARS characters together."""
+def tokens(texts: DataFrame) -> DataFrame:
+    """(id, words): 64-bit word hashes of every text (id, t), written once for the passes that follow."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHashes()
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            for a, b in _cuts(size, BATCH_CHARS):
+                flat, counts = hasher(batch.column(1).slice(a, b - a).to_pylist())
+                offsets = np.append(0, np.cumsum(counts)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), lists], names=["id", "words"])
+
+    return stage(texts.mapInArrow(scan, "id bigint, words array<bigint>"), "leak-words")
+
+
+def _cuts(size: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``."""
+    part = np.cumsum(size) // most
+    edges = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
+    yield from zip(edges[:-1], edges[1:])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """(ids, word hashes one after another, words of each text) of at most about BATCH_WORDS words together."""
     for batch in batches:
-        size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
-        part = np.cumsum(size) // BATCH_CHARS
-        cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part)) if len(part) else []
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            yield batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a).to_pylist()
+        counts = pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
+        for a, b in _cuts(counts, BATCH_WORDS):
+            part = batch.column(1).slice(a, b - a)
+            yield batch.column(0).slice(a, b - a), part.flatten().to_numpy().view(np.uint64), counts[a:b]
 
 
 def _blocks(counts: np.ndarray, size: int, whole: bool) -> np.ndarray:
@@ -81,28 +104,26 @@ def _emit(vector: np.ndarray, parts: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array(shares, pa.binary())], names=["part", "share"])
 
 
-def latent_space(texts: DataFrame) -> np.ndarray:
-    """TERMS x RANK: row t is what one occurrence of hashed term t adds to a latent vector. ``texts``: (id, text)."""
+def latent_space(corpus: DataFrame) -> np.ndarray:
+    """TERMS x RANK: row t is what one occurrence of hashed term t adds to a latent vector. ``corpus``: see tokens."""
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, total = WordHashes(), np.zeros(TERMS + 1)
-        for _, part in _slices(batches):
-            flat, counts = hasher(part)
+        total = np.zeros(TERMS + 1)
+        for _, flat, counts in _slices(batches):
             if len(flat):
                 pairs, _ = _passages(flat, counts)
                 total[:TERMS] += np.bincount(pairs % TERMS, minlength=TERMS)
                 total[TERMS] += len(_blocks(counts, PASSAGE, False))
         yield _emit(total, 1)
 
-    seen = _add_up(texts.mapInArrow(frequencies, "part int, share binary"))
+    seen = _add_up(corpus.mapInArrow(frequencies, "part int, share binary"))
     idf = np.log1p(seen[TERMS] / (1 + seen[:TERMS])) if len(seen) else np.ones(TERMS)
     start = np.random.default_rng(20160104).standard_normal((TERMS, RANK)).astype(np.float32)
-    shared = texts.sparkSession.sparkContext.broadcast((idf, start))
+    shared = corpus.sparkSession.sparkContext.broadcast((idf, start))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, (idf, start) = WordHashes(), shared.value
+        idf, start = shared.value
         total = np.zeros((RANK, TERMS))
-        for _, part in _slices(batches):
-            flat, counts = hasher(part)
+        for _, flat, counts in _slices(batches):
             if not len(flat):
                 continue
             pairs, tf = _passages(flat, counts)
@@ -116,7 +137,7 @@ def latent_space(texts: DataFrame) -> np.ndarray:
                 total[k] += np.bincount(term, projected[:, k][passage] * weight, minlength=TERMS)
         yield _emit(total.ravel(), 32)
 
-    summed = _add_up(texts.mapInArrow(sketch, "part int, share binary"))
+    summed = _add_up(corpus.mapInArrow(sketch, "part int, share binary"))
     basis, _ = np.linalg.qr(summed.reshape(RANK, TERMS).T) if len(summed) else (start, None)
     return (basis * idf[:, None]).astype(np.float32)
 
@@ -195,19 +216,19 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
     """
     out = T.StructType([T.StructField(doc_key, T.LongType()), T.StructField(item_key, T.LongType())])
     texts = docs.select(F.col(doc_key).cast("bigint").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
-    spark, found, space, block, held = docs.sparkSession, None, None, [], 0
+    spark, found, corpus, space, block, held = docs.sparkSession, None, None, None, [], 0
 
     def search(rows: list[tuple[int, list[str]]]) -> DataFrame:
-        nonlocal space
-        if space is None:
-            space = latent_space(texts)
+        nonlocal corpus, space
+        if corpus is None:
+            corpus = tokens(texts)
+            space = latent_space(corpus)
         shared = spark.sparkContext.broadcast((space, Items(rows, run)))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hasher, (space, items) = WordHashes(), shared.value
+            space, items = shared.value
             targets = {m: _project(space, items.flat, at, m) for m, (at, _) in items.windows.items()}
-            for ids, part in _slices(batches):
-                flat, counts = hasher(part)
+            for ids, flat, counts in _slices(batches):
                 begin, end = np.cumsum(counts) - counts, np.cumsum(counts)
                 hits = [np.empty((0, 2), np.int64)]
                 for m, (i_at, which) in items.windows.items():
@@ -223,7 +244,7 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
                 pairs = np.unique(np.concatenate(hits), axis=0)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(pairs[:, 0])), pa.array(items.ids[pairs[:, 1]])], names=[doc_key, item_key])
 
-        return texts.mapInArrow(scan, out)
+        return corpus.mapInArrow(scan, out)
 
     for row in items.select(F.col(item_key).cast("bigint"), passage).where(F.col(item_key).isNotNull()).toLocalIterator():
         ws = words(row[1])
