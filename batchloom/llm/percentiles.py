@@ -153,18 +153,37 @@ def combine(summaries: DataFrame, keys: list[str], size: int = SIZE, fan_in: int
     lanes = -(-(per_key or summaries.rdd.getNumPartitions()) // fan_in)
     columns = ["n", "error", "levels", "sizes", "vals"]
     part = summaries.select(*keys, *columns, F.hash(F.spark_partition_id(), *[F.col(c) for c in labels]).alias("_lane"))
-    out = T.StructType([summaries.schema[k] for k in keys] + list(T.StructType.fromDDL(_SUMMARY + ", _lane int").fields))
+    out = T.StructType([summaries.schema[k] for k in keys] + [T.StructField("_lane", T.IntegerType())] + list(T.StructType.fromDDL(_SUMMARY).fields))
+    schema, groups = to_arrow_schema(out), [*keys, "_lane"]
+    tasks = int(summaries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        s = Summary(size)
-        for row in pdf.sort_values(["n", "error", "_order"], kind="stable").itertuples():
-            s.merge(row.n, row.error, list(row.levels), list(row.sizes), np.asarray(row.vals, np.int64))
-        levels, sizes, vals = s.parts()
-        return pdf.head(1)[keys].assign(n=s.n, error=s.error, levels=[levels], sizes=[sizes], vals=[vals], _lane=pdf["lane"].iloc[0])
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[tuple, Summary]] = []
+        for b in batches:
+            heads = list(zip(*[b.column(c).to_pylist() for c in groups]))
+            n, error = b.column("n").to_pylist(), b.column("error").to_pylist()
+            levels, sizes = b.column("levels").to_pylist(), b.column("sizes").to_pylist()
+            ends = b.column("vals").offsets.to_numpy() - b.column("vals").offsets[0].as_py()
+            values = b.column("vals").flatten().to_numpy()
+            for i, head in enumerate(heads):
+                if not done or done[-1][0] != head:
+                    if len(done) >= 256:
+                        yield from flush(done)
+                        done = []
+                    done.append((head, Summary(size)))
+                done[-1][1].merge(n[i], error[i], levels[i], sizes[i], values[ends[i] : ends[i + 1]])
+        if done:
+            yield from flush(done)
+
+    def flush(done: list[tuple[tuple, Summary]]) -> Iterator[pa.RecordBatch]:
+        heads = pa.table({c: pa.array([d[0][i] for d in done], schema.field(c).type) for i, c in enumerate(groups)})
+        yield from _batch(heads, [d[1] for d in done], schema)
 
     while True:
-        lane = F.pmod(F.col("_lane"), F.lit(lanes)).alias("lane")
-        part = part.select(*keys, *columns, lane, F.xxhash64("vals").alias("_order")).groupBy(*keys, "lane").applyInPandas(merge, out)
+        lane = F.pmod(F.col("_lane"), F.lit(lanes)).cast("int").alias("_lane")
+        rows = part.select(*keys, *columns, lane, F.xxhash64("vals").alias("_order"))
+        # A fixed number of tasks: the work lies in merging, not in bytes. Summaries of one group arrive in order.
+        part = rows.repartition(tasks, *groups).sortWithinPartitions(*groups, "n", "error", "_order").mapInArrow(merge, out)
         if lanes == 1:
             return part.drop("_lane")
         lanes = -(-lanes // fan_in)

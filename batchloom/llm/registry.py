@@ -30,26 +30,27 @@ def p2_runs(spark: SparkSession, base: str) -> DataFrame:
     return _runs(spark, base).select(F.col("entity").alias("sym"), F.col("first_key").alias("first_quote_id"), F.col("last_key").alias("last_quote_id"), "n", "seconds")
 
 
+def _values(spark: SparkSession, base: str) -> DataFrame:
+    """Prices and sizes of trades one below the other, with their UTC day."""
+    readings = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("v")) for f in ("px", "sz")]))
+    return table(spark, base, "trades").select("sym", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).alias("day"), readings.alias("r")).select("r.field", "sym", "day", "r.v")
+
+
 def _shown(summaries: DataFrame) -> DataFrame:
-    q = quantiles(summaries, ["sym"], PROBABILITIES)
-    return q.select("sym", "n", F.col("error").alias("rank_error"), *[F.col("q")[i].alias(f"p{str(100 * p).rstrip('0').rstrip('.').replace('.', '_')}") for i, p in enumerate(PROBABILITIES)])
+    q = quantiles(summaries, ["field", "sym"], PROBABILITIES)
+    names = ["p" + f"{100 * p:g}".replace(".", "_") for p in PROBABILITIES]
+    return q.select("field", "sym", "n", F.col("error").alias("rank_error"), *[F.col("q")[i].alias(c) for i, c in enumerate(names)])
 
 
 def p5_percentiles(spark: SparkSession, base: str) -> DataFrame:
-    """Per sym, over the summaries of all partitions."""
-    trades = table(spark, base, "trades")
-    parts = [_shown(combine(summarise(trades, ["sym"], f), ["sym"])).select(F.lit(f).alias("field"), "*") for f in ("px", "sz")]
-    return parts[0].unionAll(parts[1])
+    """Per field and sym, over the summaries of all partitions."""
+    return _shown(combine(summarise(_values(spark, base), ["field", "sym"], "v"), ["field", "sym"]))
 
 
 def p5_from_days(spark: SparkSession, base: str) -> DataFrame:
-    """The same by way of summaries per sym and day, combined over the days."""
-    trades = table(spark, base, "trades").withColumn("day", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)))
-    parts = []
-    for f in ("px", "sz"):
-        daily = combine(summarise(trades, ["sym", "day"], f), ["sym", "day"])
-        parts.append(_shown(combine(daily, ["sym"], per_key=366)).select(F.lit(f).alias("field"), "*"))
-    return parts[0].unionAll(parts[1])
+    """The same by way of summaries per field, sym and day, combined over the days."""
+    daily = combine(summarise(_values(spark, base), ["field", "sym", "day"], "v"), ["field", "sym", "day"])
+    return _shown(combine(daily, ["field", "sym"], per_key=366))
 
 
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
