@@ -10,11 +10,11 @@ def first_deliveries(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 
     ``min_by`` over a struct keeps a single candidate per key and task, so that copies of one key collapse before the
     shuffle however many there are. Ties in ``order`` are broken by a hash of the whole row and, beyond that, concern
-    rows that are equal in all columns. Nulls order first. Rows whose key is null are no copies of one another: all
+    rows that are equal in all columns. Nulls order last. Rows whose key is null are no copies of one another: all
     are kept. Column names may clash with nothing, as the row travels as one struct.
     """
     whole = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    rank = F.struct(*[F.col(f"`{c}`") for c in order], F.xxhash64(whole))
+    rank = F.struct(*[x for c in order for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))], F.xxhash64(whole))
     kept = df.where(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`")).agg(F.min_by(whole, rank).alias("first_row")).select("first_row.*")
     return kept.unionAll(df.where(F.col(f"`{key}`").isNull()))
 
