@@ -10,16 +10,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..errors import StateError
 from ..functions.cycle import RollCycle
 from ..staging import stage
 
-SLICE_ROWS = 65_536
+SLICE_ROWS = 512  # rows that look up their batch together
 
 
 def positions(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -29,14 +27,16 @@ def positions(df: DataFrame, order: list[str], within: list[str] | None = None)
     partitions), so that neither the whole table nor a hot group ever passes through one task.
     """
     within = within or []
-    arranged = stage(df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_part", F.spark_partition_id()), "positions")
-    part = Window.partitionBy("_part", *within)
-    counts = arranged.groupBy("_part", *within).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("_part", *within, before.alias("_before"))
-    ranked = arranged.withColumn("_rn", F.row_number().over(part.orderBy(*order)))
-    joined = ranked.alias("r").join(offsets.alias("o"), F.expr(" AND ".join(f"r.`{c}` <=> o.`{c}`" for c in ["_part", *within])))
-    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("_before") + F.col("_rn") - 1).alias("pos"))
+    # Numbers of monotonically_increasing_id: the partition in the upper bits, the row in its order in the lower 33.
+    number = F.monotonically_increasing_id()
+    arranged = df.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order).withColumn("_number", number)
+    arranged = stage(arranged, "positions").withColumn("_part", F.shiftright("_number", 33))
+    counts = arranged.groupBy("_part", *within).agg(F.count(F.lit(1)).alias("_n"), F.min("_number").alias("_first"))
+    group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
+    before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", *within, (before - F.col("_first")).alias("_shift"))
+    joined = arranged.alias("r").join(offsets.alias("o"), F.expr(" AND ".join(f"r.`{c}` <=> o.`{c}`" for c in ["_part", *within])))
+    return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("_number") + F.col("_shift")).alias("pos"))
 
 
 def by_row_count(pos: Column, batch_rows: int, max_batches: int | None = None) -> tuple[Column, Column, Column]:
@@ -80,32 +80,47 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
     """``df`` with ``batch``: greedy filling by rows and by bytes of the variable-length columns, per ``within`` group.
 
     Greedy filling is a fold over the rows of one interval: where a batch starts depends on where the one before it
-    did. It is done without bringing the rows together: byte lengths alone (a few bytes a row) are cut into slices of
-    consecutive rows, packed into one binary row each, and the fold walks over the slices of an interval in order; only
-    the batch starts come back, as ranges of positions. The fold is sequential per interval, but reads ~4 bytes a row
-    and column and jumps from batch to batch. StateError if one value exceeds its column's budget; a null value takes
-    no bytes; an empty table gives no rows. ``carry``: (value of the only ``within`` column, rows, bytes per column) of
+    did. It is done without bringing the rows together: byte lengths alone (4 bytes a row and column) of consecutive rows
+    are packed into binary rows, and the fold walks over those of an interval in order, jumping from batch to batch;
+    only the batches come back, as ranges of positions. A value that exceeds its column's budget raises; a null value
+    takes no bytes; an empty table gives no rows. ``carry``: (value of the only ``within`` column, rows, bytes per column) of
     a batch that is open already; rows of that group go on in it as batch 0.
     """
     caps, columns = list(budgets.values()), list(budgets)
-    ranked = stage(positions(df, order, within), "budget")
-    lengths = [F.coalesce(F.octet_length(c), F.lit(0)) for c in columns]
-    over = F.lit(False)
-    for size, cap in zip(lengths, caps):
-        over |= size > cap
-    if not ranked.where(over).isEmpty():
-        raise StateError("a value is longer than its column's byte budget")
-
-    slices = ranked.select(*within, F.floor(F.col("pos") / SLICE_ROWS).alias("slice"), "pos", F.array(*lengths).alias("size"))
-    packed = slices.groupBy(*within, "slice").agg(F.sort_array(F.collect_list(F.struct("pos", "size"))).alias("rows"))
-    packed = packed.select(*within, "slice", F.transform("rows", lambda r: r["size"]).alias("sizes"))
-    out = T.StructType([df.schema[c] for c in within] + [T.StructField("batch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        goes_on = carry is not None and pdf[within[0]].iloc[0] == carry[0]
+    ranked = positions(df, order, within)
+    lengths = []
+    for c, cap in budgets.items():
+        size = F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
+        lengths.append(F.when(size > cap, F.raise_error(F.lit(f"{c}: a value is longer than its byte budget")).cast("int")).otherwise(size).alias(f"_size{columns.index(c)}"))
+    sizes = ranked.select(*within, "pos", *lengths)
+    keyed = [df.schema[c] for c in within]
+    packed = T.StructType(keyed + [T.StructField("first", T.LongType()), T.StructField("sizes", T.BinaryType())])
+    schema, n_within = to_arrow_schema(packed), len(within)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Runs of consecutive positions of one group, with their byte lengths as 32-bit integers."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            pos = b.column("pos").to_numpy()
+            new = np.append(True, pos[1:] != pos[:-1] + 1)
+            for c in range(n_within):
+                coded = b.column(c).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= coded[1:] != coded[:-1]
+            at = np.flatnonzero(new)
+            grid = np.stack([b.column(f"_size{i}").to_numpy() for i in range(len(caps))], axis=1).astype(np.int32)
+            blobs = [grid[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(pos)))]
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in range(n_within)] + [pa.array(pos[at]), pa.array(blobs, pa.binary())], schema=schema)
+
+    out = T.StructType(keyed + [T.StructField("batch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
+    out_schema = to_arrow_schema(out)
+
+    def fold(t: pa.Table) -> pa.Table:
+        goes_on = carry is not None and t[within[0]][0].as_py() == carry[0]
         starts, carried, base = [], (carry[1], list(carry[2])) if goes_on else (0, []), 0
-        for sizes in pdf.sort_values("slice")["sizes"]:
-            part = np.stack(sizes).astype(np.int64)
+        order = np.argsort(t["first"].to_numpy(), kind="stable")
+        for i in order:
+            part = np.frombuffer(t["sizes"][int(i)].as_py(), np.int32).reshape(-1, len(caps)).astype(np.int64)
             new, carried = greedy_starts(part, caps, batch_rows, carried)
             starts.append(np.flatnonzero(new) + base)
             base += len(part)
@@ -115,12 +130,10 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
         number = np.arange(len(first)) + goes_on
         if goes_on and (not len(first) or first[0] > 0):
             first, number = np.append(0, first), np.append(0, number)
-        result = pd.DataFrame({"batch": number, "first": first, "last": np.append(first[1:], base) - 1})
-        for c in within:
-            result[c] = pdf[c].iloc[0]
-        return result[[*within, "batch", "first", "last"]]
+        heads = [t[c].take(pa.array(np.zeros(len(first), np.int64))) for c in within]
+        return pa.Table.from_arrays([*heads, pa.array(number), pa.array(first), pa.array(np.append(first[1:], base) - 1)], schema=out_schema)
 
-    ranges = packed.groupBy(*within).applyInPandas(fold, out)
+    ranges = sizes.mapInArrow(pack, packed).groupBy(*within).applyInArrow(fold, out)
     # Each batch meets the slices it reaches, so that rows find theirs by equality of the slice.
     reached = ranges.select("*", F.explode(F.sequence(F.floor(F.col("first") / SLICE_ROWS), F.floor(F.col("last") / SLICE_ROWS))).alias("slice"))
     spans = reached.groupBy(*within, "slice").agg(F.sort_array(F.collect_list(F.struct("first", "batch"))).alias("spans"))
