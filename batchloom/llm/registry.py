@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..tables import table
 from .bpe import encode_texts
+from .chains import shared_passages
 from .leaks import find_leaks
 from .nearest import nearest
+from .paraphrases import find_paraphrases
 from .percentiles import combine, quantiles, summarise
 from .runs import collapse_runs
 from .spans import shared_spans
@@ -66,11 +68,19 @@ def p9_found(spark: SparkSession, base: str) -> DataFrame:
     return find_leaks(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "test_items"), "item_id", "passage")
 
 
+def p9_paraphrases(spark: SparkSession, base: str) -> DataFrame:
+    return find_paraphrases(table(spark, base, "documents"), "doc_id", "text", table(spark, base, "test_items"), "item_id", "passage", "answer")
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return shared_spans(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p5_percentiles, p5_from_days, p6_found, p8_ids, p9_found, p10_found)}
+def p10_passages(spark: SparkSession, base: str) -> DataFrame:
+    return shared_passages(table(spark, base, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p5_percentiles, p5_from_days, p6_found, p8_ids, p9_found, p9_paraphrases, p10_found, p10_passages)}
 
 _P2 = """
 WITH q AS (SELECT *, lag(ts) OVER s AS t0, lag(bid_px) OVER s AS b0, lag(ask_px) OVER s AS a0 FROM quotes WHERE sym IS NOT NULL WINDOW s AS (PARTITION BY sym ORDER BY ts, quote_id)),
@@ -89,7 +99,15 @@ _P5 = """
 SELECT field, sym, count(v) AS n, CAST(0 AS BIGINT) AS rank_error, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.99) AS p99, quantile_disc(v, 0.999) AS p99_9
 FROM (SELECT 'px' AS field, sym, px AS v FROM trades UNION ALL SELECT 'sz', sym, CAST(sz AS BIGINT) FROM trades) WHERE v IS NOT NULL GROUP BY field, sym"""
 
+_P10 = """
+WITH windows AS (SELECT doc_id, s, substring(text, s + 1, 100) AS g FROM (SELECT doc_id, text, unnest(range(0, length(text) - 99)) AS s FROM documents WHERE doc_id IS NOT NULL AND length(text) >= 100)),
+shared AS (SELECT doc_id, s FROM windows WHERE g IN (SELECT g FROM windows GROUP BY g HAVING min(doc_id) <> max(doc_id))),
+marked AS (SELECT *, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 100 THEN 0 ELSE 1 END AS new FROM shared),
+spans AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM marked)
+SELECT doc_id, min(s) AS span_start, max(s) + 100 AS span_end FROM spans GROUP BY doc_id, span"""
+
 SQL = {
+    "p10_found": _P10,
     "p2_found": _P2 + "SELECT sym, first_quote_id, last_quote_id FROM runs",
     "p2_runs": _P2 + "SELECT sym, first_quote_id, last_quote_id, n, seconds FROM runs",
     "p5_percentiles": _P5,
