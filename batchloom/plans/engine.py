@@ -20,7 +20,7 @@ from ..operators.batching import by_byte_budget, by_row_count, positions
 from ..operators.zonemap import null_counts, survives, with_sealed, zone_map
 from ..sources.spec import quotes_spec
 from ..sources.store import TableStore
-from ..staging import shared_dir
+from ..staging import scratch
 from ..tables import table
 
 ROWS, BATCHES, BUDGET = 256, 8, 2048
@@ -139,7 +139,7 @@ def prune_detached(spark, base):
 
 
 def _quote_store(spark: SparkSession, base: str) -> TableStore:
-    store = TableStore.create(spark, f"{shared_dir(spark)}/quotes-{uuid.uuid4().hex}", quotes_spec(8192), cycle="1d", max_batches=16)
+    store = TableStore.create(spark, scratch(spark, "quotes"), quotes_spec(8192), cycle="1d", max_batches=16)
     store.append(table(spark, base, "quotes"), ["quote_id"], budgets=False)
     return store
 
@@ -280,7 +280,7 @@ def s3_snapshot_freeze(spark, base):
     """A snapshot taken before the second of two commits keeps its count."""
     q = table(spark, base, "live_quotes").withColumn("ask_px", F.col("px")).withColumnRenamed("px", "bid_px")
     q = q.select("ts", "sym", "bid_px", "ask_px", F.lit(1).alias("bid_sz"), F.lit(1).alias("ask_sz"), F.lit("X").alias("venue"))
-    store = TableStore.create(spark, f"{shared_dir(spark)}/live-{uuid.uuid4().hex}", quotes_spec(1024), cycle="1d")
+    store = TableStore.create(spark, scratch(spark, "live"), quotes_spec(1024), cycle="1d")
     store.append(q.where("sym < 'N'"), ["ts", "sym", "bid_px"], budgets=False)
     frozen = store.snapshot()
     store.append(q.where("sym >= 'N'"), ["ts", "sym", "bid_px"], budgets=False)
@@ -316,7 +316,7 @@ def s1_stream_append(spark, base):
     # A stream reads folders and patterns; the table may be a folder or one file.
     stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").parquet(f"{base}/live_quotes*.parquet")
     rows = stream.select("ts", "sym", F.col("px").alias("bid_px"), F.col("px").alias("ask_px"), F.lit(1).alias("bid_sz"), F.lit(1).alias("ask_sz"), F.lit("X").alias("venue"))
-    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    root = scratch(spark, "stream")
     store = TableStore.create(spark, f"{root}/t", quotes_spec(65536), cycle="1d")
     query = append_stream(rows, store, ["ts", "sym", "bid_px"], f"{root}/checkpoint", f"live-{uuid.uuid4().hex}", once=True)
     query.awaitTermination()

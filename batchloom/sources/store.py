@@ -4,6 +4,7 @@ Layout of a table's folder::
 
     spec.json                         the specification
     _log/<version>.json               one small file per commit: its files, sealed batches, tombstones, writer state
+    _log/<version>.digest             all commits up to a version in one file, so that readers open few
     _batches/commit=<version>/        one Parquet row per batch that the commit wrote (a partial zone map)
     data/commit=<version>/segment=<id>/part-*.parquet
     .detach                           detach watermark (a reader's sidecar)
@@ -34,6 +35,7 @@ from .spec import TableSpec
 
 log = logging.getLogger(__name__)
 
+DIGEST_EVERY = 64  # commits between digests of the log
 DETACH_FILE, DETACH_MAGIC = ".detach", "batchloom-detach v1"
 _BATCH_ROW = "segment_id bigint, interval_start bigint, cycle int, seq int, batch bigint, row_count bigint, ts_min bigint, ts_max bigint, stat_min decimal(20,0), stat_max decimal(20,0), epoch bigint, schema_sha256 string"
 
@@ -95,18 +97,23 @@ class TableStore:
         return [int(n[:-5]) for n in self.files.names("_log") if n.endswith(".json") and n[:-5].isdigit()]
 
     def _commits(self, version: int | None = None) -> list[dict]:
-        out = []
-        for v in self.versions():
-            if version is None or v <= version:
-                try:
-                    out.append(json.loads(self.files.read(f"_log/{v:012d}.json")) | {"version": v})
-                except ValueError as e:
-                    raise FormatError(f"malformed commit {v}: {e}") from None
+        """All commits up to ``version``: the newest digest that is not later, and the log files after it."""
+        names = self.files.names("_log")
+        known = lambda suffix: [int(n.removesuffix(suffix)) for n in names if n.endswith(suffix) and n.removesuffix(suffix).isdigit()]
+        wanted = [v for v in known(".json") if version is None or v <= version]
+        digest = max((v for v in known(".digest") if version is None or v <= version), default=0)
+        try:
+            out = json.loads(self.files.read(f"_log/{digest:012d}.digest")) if digest else []
+            out += [json.loads(self.files.read(f"_log/{v:012d}.json")) | {"version": v} for v in wanted if v > digest]
+        except (ValueError, TypeError) as e:
+            raise FormatError(f"malformed commit log: {e}") from None
         return out
 
     def _commit(self, version: int | None = None, **content: object) -> int:
         version = version or max(self.versions(), default=0) + 1
         self.files.publish(f"_log/{version:012d}.json", json.dumps(content | {"epoch": self.epoch, "at": time.time(), "schema_sha256": self.spec.sha256}))
+        if version % DIGEST_EVERY == 0:
+            self.files.publish(f"_log/{version:012d}.digest", json.dumps(self._commits(version)), replace=True)
         return version
 
     def tail(self) -> Tail:
@@ -340,10 +347,12 @@ class Snapshot:
         return b.withColumn("name", name_column(F.floor(F.col("interval_start") / MINUTE_US), F.col("cycle"), F.col("seq")))
 
     def guard(self) -> None:
-        """FormatError unless all visible segments have this table's schema."""
-        found = {r[0] for r in self.batches().select("schema_sha256").distinct().limit(3).collect()}
-        if found - {self.store.spec.sha256}:
+        """FormatError unless all visible segments have this table's schema and no batch exceeds its capacity."""
+        found = self.batches().groupBy("schema_sha256").agg(F.max("row_count")).limit(3).collect()
+        if {r[0] for r in found} - {self.store.spec.sha256}:
             raise FormatError("segments of several schemas cannot be scanned together")
+        if any(r[1] > self.store.spec.batch_rows for r in found):
+            raise FormatError("the catalog has a batch of more rows than its capacity")
 
     def prune(self, time_range: tuple[int, int] | None = None, stat_range: tuple[int, int] | None = None) -> DataFrame:
         """Batches that may hold rows within closed ranges (time in the column's own unit); open ones always stay."""
@@ -359,6 +368,8 @@ class Snapshot:
         alive = {r[0] for r in self.prune(time_range, stat_range).select("segment_id").distinct().toLocalIterator()}
         folders = [f"{self.store.path}/data/commit={c['version']:012d}/{n}" for c in self.commits if c.get("files") for n in self.store.files.names(f"data/commit={c['version']:012d}") if n.startswith("segment=") and int(n[8:]) in alive]
         schema = T.StructType(list(self.store.spec.spark_schema.fields) + [T.StructField("batch", T.LongType()), T.StructField("row_pos", T.LongType()), T.StructField("segment", T.LongType())])
+        if lost := alive - {int(f.rpartition("=")[2]) for f in folders}:
+            raise FormatError(f"files of segments are missing: {sorted(lost)[:5]}")
         if not folders:
             return self.spark.createDataFrame([], schema)
         rows = self.spark.read.schema(schema).option("basePath", f"{self.store.path}/data").parquet(*folders).drop("commit")

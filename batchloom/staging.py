@@ -30,12 +30,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, deleted when the process ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` below the shared folder and return a DataFrame that reads the written files."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.mode("error").option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -152,3 +152,41 @@ def test_malformed_watermarks(text):
 def test_watermark_round_trip():
     assert parse_watermark("batchloom-detach v1\n0\n") == 0
     assert parse_watermark("batchloom-detach v1\n9223372036854775807\n") == (1 << 63) - 1
+
+
+def test_digest_of_the_log(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("batchloom.sources.store.DIGEST_EVERY", 2)
+    store = TableStore.create(spark, f"file://{tmp_path}/t", spec(2))
+    for k in range(3):
+        store.append(frame(spark, [(k, k, "a")]), ["n"])
+    assert [n for n in store.files.names("_log") if n.endswith("digest")] == ["000000000002.digest"]
+    assert [c["version"] for c in store._commits()] == [1, 2, 3] and [c["version"] for c in store._commits(1)] == [1]
+    assert store.snapshot().count() == 3 and store.snapshot(2).count() == 2
+
+
+def test_corruption_is_an_error(spark, tmp_path):
+    import shutil
+
+    store = TableStore.create(spark, f"file://{tmp_path}/t", spec(4))
+    store.append(frame(spark, [(k, k, "a") for k in range(6)]), ["n"])
+    folder = tmp_path / "t"
+    wrong = spark.read.parquet(f"file://{folder}/_batches")
+    for name, changed, text in [("hash", wrong.withColumn("schema_sha256", F.lit("x")), "several schemas"), ("rows", wrong.withColumn("row_count", F.lit(5).cast("bigint")), "capacity")]:
+        shutil.copytree(folder, tmp_path / name)
+        shutil.rmtree(tmp_path / name / "_batches" / "commit=000000000001")
+        changed.drop("commit").write.parquet(f"file://{tmp_path}/{name}/_batches/commit=000000000001")
+        with pytest.raises(FormatError, match=text):
+            TableStore(spark, f"file://{tmp_path}/{name}").snapshot().scan()
+    part = next(folder.glob("data/commit=*/segment=*/*.parquet"))
+    content = part.read_bytes()
+    (part.parent / f".{part.name}.crc").unlink(missing_ok=True)
+    part.write_bytes(content[: len(content) // 2])
+    with pytest.raises(Exception):
+        store.snapshot().scan().collect()
+    shutil.rmtree(part.parent)
+    with pytest.raises(FormatError, match="missing"):
+        store.snapshot().scan()
+    (folder / "_log" / "000000000001.json").write_text("{")
+    (folder / "_log" / ".000000000001.json.crc").unlink(missing_ok=True)
+    with pytest.raises(FormatError, match="malformed"):
+        store.snapshot()
