@@ -207,3 +207,15 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
     assert isinstance(entry.entry(spark).schema, T.StructType)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from batchloom.__main__ import main
+
+    main(["backfill", f"file://{tmp_path}", "--days", "2", "--events", "200", "--cycle", "1d", "--batch-rows", "64"])
+    out = capsys.readouterr().out
+    assert "quotes 400 rows" in out and "trades 40 rows" in out
+    store = TableStore(spark, f"file://{tmp_path}/quotes")
+    assert all(r.sealed for r in store.snapshot().batches().collect())
+    inside = store.snapshot().segments().select((F.col("ts_min") >= F.col("interval_start")) & (F.col("ts_max") < F.col("interval_start") + 86_400_000_000))
+    assert [r[0] for r in inside.collect()] == [True, True]
