@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.timeexpr import micros
+from ..functions.timeexpr import floor_div, micros
 
 
 def nearest(left: DataFrame, right: DataFrame, entity: str, ts: str, left_key: str, right_key: str, tolerance_us: int = 1_000_000, tick_us: int = 60_000_000) -> DataFrame:
@@ -31,7 +31,7 @@ def nearest(left: DataFrame, right: DataFrame, entity: str, ts: str, left_key: s
         part = part.where("e IS NOT NULL AND t IS NOT NULL")
         return (part.where("k IS NOT NULL") if side == 0 else part).withColumn("side", F.lit(side))
 
-    tick = lambda t: F.floor(t / F.lit(tick_us)).cast("bigint")
+    tick = lambda t: floor_div(t, tick_us)
     spread = F.explode(F.sequence(tick(F.col("t") - tolerance_us), tick(F.col("t") + tolerance_us)))
     both = rows(right, right_key, 0).select("e", spread.alias("tick"), "t", "k", "side")
     both = both.unionAll(rows(left, left_key, 1).select("e", tick(F.col("t")).alias("tick"), "t", "k", "side"))

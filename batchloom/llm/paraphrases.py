@@ -12,7 +12,7 @@ from .leaks import BLOCK_WINDOWS, PASSAGE, _near, _slices, _terms, latent_space,
 from .words import WordHashes, words
 
 STRIDE = 8
-COSINE = 0.9
+COSINE = 0.8
 SHARE = 0.7
 BITS = 512  # of a window's word signature
 

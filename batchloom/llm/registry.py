@@ -6,6 +6,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.timeexpr import utc_day
 from ..tables import table
 from .bpe import encode_texts
 from .chains import shared_passages
@@ -35,7 +36,7 @@ def p2_runs(spark: SparkSession, base: str) -> DataFrame:
 def _values(spark: SparkSession, base: str) -> DataFrame:
     """Prices and sizes of trades one below the other, with their UTC day."""
     readings = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("bigint").alias("v")) for f in ("px", "sz")]))
-    return table(spark, base, "trades").select("sym", F.floor(F.unix_micros("ts") / F.lit(86_400_000_000)).alias("day"), readings.alias("r")).select("r.field", "sym", "day", "r.v")
+    return table(spark, base, "trades").select("sym", utc_day(F.unix_micros("ts")).alias("day"), readings.alias("r")).select("r.field", "sym", "day", "r.v")
 
 
 def _shown(summaries: DataFrame) -> DataFrame:
