@@ -15,7 +15,11 @@ def micros(column: str | Column, kind: T.DataType | None = None) -> Column:
     return F.unix_micros(c)
 
 
+def floor_div(value: Column, unit: int) -> Column:
+    """Whole units in an integer, rounded down; exact for all of BIGINT, unlike a division of doubles."""
+    return F.call_function("div", value - F.pmod(value, F.lit(unit)), F.lit(unit)).cast("bigint")
+
+
 def utc_day(column: str | Column) -> Column:
     """Days since 1970-01-01 in UTC, from epoch microseconds."""
-    c = F.col(column) if isinstance(column, str) else column
-    return F.floor(c / F.lit(MICROS_PER_DAY)).cast("bigint")
+    return floor_div(F.col(column) if isinstance(column, str) else column, MICROS_PER_DAY)

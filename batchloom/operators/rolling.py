@@ -7,7 +7,14 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.timeexpr import micros, utc_day
 
 
-def trailing_totals(df: DataFrame, entity: str, ts: str, value: str, periods: tuple[int, ...] = (7, 30)) -> DataFrame:
+def day_span(df: DataFrame, ts: str) -> tuple[int | None, int | None]:
+    """First and last UTC day, in days since 1970, of all rows with a timestamp."""
+    at = micros(ts, df.schema[ts].dataType)
+    first = df.agg(utc_day(F.min(at)).alias("lo"), utc_day(F.max(at)).alias("hi")).first()
+    return first["lo"], first["hi"]
+
+
+def trailing_totals(df: DataFrame, entity: str, ts: str, value: str, periods: tuple[int, ...] = (7, 30), span: tuple[int, int] | None = None) -> DataFrame:
     """For each entity and UTC day from the table's first to its last: totals of ``value`` over the trailing periods.
 
     Columns: entity, ``day`` (DATE) and for each period p ``sum_{p}d`` (BIGINT, 0 without activity), ``n_{p}d`` (rows
@@ -24,8 +31,7 @@ def trailing_totals(df: DataFrame, entity: str, ts: str, value: str, periods: tu
     """
     longest = max(periods)
     days = df.select(F.col(entity).alias("entity"), utc_day(micros(ts, df.schema[ts].dataType)).alias("d"), F.col(value).cast("bigint").alias("v"))
-    ends = days.agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
+    lo, hi = (F.lit(d).cast("bigint") for d in span or day_span(df, ts))
     daily = days.where(F.col("entity").isNotNull() & F.col("d").isNotNull()).groupBy("entity", "d").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("s"), F.count("v").alias("n"))
     influence = F.explode(F.sequence(F.col("d"), F.least(F.col("d") + F.lit(longest - 1), hi)))
     out = daily.select("entity", "s", "n", F.col("d").alias("source"), influence.alias("d"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.compressed import per_key
 from ..operators.dedup import first_deliveries, surplus
-from ..operators.rolling import trailing_totals
+from ..operators.rolling import day_span, trailing_totals
 from ..operators.spikes import bad_readings
 from ..tables import table
 
@@ -31,11 +31,8 @@ def p1_reasons(spark: SparkSession, base: str) -> DataFrame:
 
 def p3_rolling(spark: SparkSession, base: str) -> DataFrame:
     trades = table(spark, base, "trades").select("sym", "ts", "sz", "trade_id", "row_id")
-    ends = trades.select(F.min("ts").alias("ts"))  # the calendar covers all rows, surplus deliveries too
-    last = trades.select(F.max("ts").alias("ts"))
-    calendar = ends.unionAll(last).select(F.lit(None).cast("string").alias("sym"), "ts", F.lit(None).cast("int").alias("sz"))
     once = first_deliveries(trades, "trade_id", ["row_id"]).select("sym", "ts", "sz")
-    return trailing_totals(once.unionAll(calendar), "sym", "ts", "sz")
+    return trailing_totals(once, "sym", "ts", "sz", span=day_span(trades, "ts"))
 
 
 def p4_per_sym(spark: SparkSession, base: str) -> DataFrame:
