@@ -18,7 +18,8 @@ class Files:
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.root = root.rstrip("/")
         self._fs = self._path("").getFileSystem(self._conf)
-        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path("").toUri() if "://" in root else self._jvm.java.net.URI("file:///"), self._conf)
+        # A root without a scheme belongs to the default file system, as for Spark's own readers.
+        self._context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
 
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
