@@ -13,6 +13,7 @@ from .words import WordHashes, words
 
 STRIDE = 8
 COSINE = 0.8
+SHORT_COSINE = 0.7  # at most, of windows of less than PASSAGE words, where each word weighs more
 SHARE = 0.7
 BITS = 512  # of a window's word signature
 
@@ -28,10 +29,20 @@ def windows(counts: np.ndarray, size: int = PASSAGE, stride: int = STRIDE) -> tu
     return first, np.minimum(first + size, last), text
 
 
-def project(space: np.ndarray, flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Unit latent vectors of the windows; zero where nothing is known of any word."""
+def stride(size: int) -> int:
+    """Steps of the document windows that meet item windows of ``size`` words."""
+    return STRIDE if size >= PASSAGE else max(1, size // 8)
+
+
+def totals(space: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Sums of the latent vectors of all words before each position."""
     upto = np.zeros((len(flat) + 1, space.shape[1]))
     np.cumsum(space[_terms(flat)], axis=0, out=upto[1:])
+    return upto
+
+
+def project(upto: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Unit latent vectors of the windows; zero where nothing is known of any word."""
     v = upto[end] - upto[first]
     norm = np.linalg.norm(v, axis=1, keepdims=True)
     return np.where(norm > 1e-9, v / np.maximum(norm, 1e-9), 0).astype(np.float32)
@@ -65,7 +76,8 @@ def find_paraphrases(docs: DataFrame, doc_key: str, text: str, items: DataFrame,
     """(doc_key, item_key, cosine, share, has_answer): documents that hold a passage, perhaps reworded.
 
     A window of the document is a candidate if its latent vector has at least ``cosine`` with that of a window of the
-    passage (or of all of it, if short). It counts if the longest common subsequence of the passage's window and the
+    passage (or of all of it, if short) of the same number of words; SHORT_COSINE holds for
+    passages of less than PASSAGE words. It counts if the longest common subsequence of the passage's window and the
     document's, widened by half a window on either side, covers at least ``share`` of the former. A subsequence that
     long leaves at most the other words' bits of the passage's signature out of the document's, which rules out most
     candidates at once and loses none. ``has_answer`` tells
@@ -89,27 +101,33 @@ def find_paraphrases(docs: DataFrame, doc_key: str, text: str, items: DataFrame,
             space, keys, passages, answers = shared.value
             i_flat = np.concatenate(passages)
             i_first, i_end, which = windows(np.array([len(p) for p in passages]))
-            targets = project(space, i_flat, i_first, i_end)
+            targets, sizes = project(totals(space, i_flat), i_first, i_end), i_end - i_first
             i_signs, spare = signatures(i_flat, i_first, i_end), np.floor((1 - share) * (i_end - i_first) + 1e-9)
             for ids, flat, counts in _slices(batches):
                 begin, stop = np.cumsum(counts) - counts, np.cumsum(counts)
-                first, end, doc = windows(counts)
-                if not len(first):
-                    continue
-                vectors = project(space, flat, first, end)
+                upto = totals(space, flat)
                 best: dict[tuple[int, int], tuple[float, float]] = {}
-                low, high = np.maximum(begin[doc], first - PASSAGE // 2), np.minimum(stop[doc], end + PASSAGE // 2)
-                near_d, near_i = _near(vectors, targets, cosine)
-                signs = signatures(flat, low, high)
-                for a in range(0, len(near_d), 100_000):
-                    d, i = near_d[a : a + 100_000], near_i[a : a + 100_000]
-                    near_d[a : a + 100_000] = np.where(np.bitwise_count(i_signs[i] & ~signs[d]).sum(axis=1) <= spare[i], d, -1)
-                for d, i in zip(near_d[near_d >= 0], near_i[near_d >= 0]):
-                    wanted = i_flat[i_first[i] : i_end[i]]
-                    part = common(wanted, flat[low[d] : high[d]]) / len(wanted)
-                    if part >= share:
-                        pair = int(doc[d]), int(which[i])
-                        best[pair] = max(best.get(pair, (0.0, 0.0)), (part, float(vectors[d] @ targets[i])))
+                for size in np.unique(sizes).tolist():
+                    first, end, doc = windows(counts, size, stride(size))
+                    if not len(first):
+                        continue
+                    of_size = np.flatnonzero(sizes == size)
+                    vectors = project(upto, first, end)
+                    near_d, near_i = _near(vectors, targets[of_size], cosine if size >= PASSAGE else min(cosine, SHORT_COSINE))
+                    near_i = of_size[near_i]
+                    met, row = np.unique(near_d, return_inverse=True)
+                    low, high = np.maximum(begin[doc[met]], first[met] - PASSAGE // 2), np.minimum(stop[doc[met]], end[met] + PASSAGE // 2)
+                    signs = signatures(flat, low, high)
+                    good = np.ones(len(row), bool)
+                    for a in range(0, len(row), 100_000):
+                        d, i = row[a : a + 100_000], near_i[a : a + 100_000]
+                        good[a : a + 100_000] = np.bitwise_count(i_signs[i] & ~signs[d]).sum(axis=1) <= spare[i]
+                    for d, i in zip(row[good], near_i[good]):
+                        wanted = i_flat[i_first[i] : i_end[i]]
+                        part = common(wanted, flat[low[d] : high[d]]) / len(wanted)
+                        if part >= share:
+                            pair = int(doc[met[d]]), int(which[i])
+                            best[pair] = max(best.get(pair, (0.0, 0.0)), (part, float(vectors[met[d]] @ targets[i])))
                 rows = [(p, v, _holds(flat[begin[p[0]] : stop[p[0]]], answers[p[1]])) for p, v in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array([p[0] for p, _, _ in rows], pa.int64())), pa.array([keys[p[1]] for p, _, _ in rows], pa.int64()), pa.array([v[1] for _, v, _ in rows], pa.float64()), pa.array([v[0] for _, v, _ in rows], pa.float64()), pa.array([h for _, _, h in rows], pa.bool_())], names=out.names)
 
