@@ -140,7 +140,7 @@ def prune_detached(spark, base):
 
 def _quote_store(spark: SparkSession, base: str) -> TableStore:
     store = TableStore.create(spark, scratch(spark, "quotes"), quotes_spec(8192), cycle="1d", max_batches=16)
-    store.append(table(spark, base, "quotes"), ["quote_id"], budgets=False)
+    store.append(table(spark, base, "quotes"), ["quote_id"])
     return store
 
 
@@ -281,9 +281,9 @@ def s3_snapshot_freeze(spark, base):
     q = table(spark, base, "live_quotes").withColumn("ask_px", F.col("px")).withColumnRenamed("px", "bid_px")
     q = q.select("ts", "sym", "bid_px", "ask_px", F.lit(1).alias("bid_sz"), F.lit(1).alias("ask_sz"), F.lit("X").alias("venue"))
     store = TableStore.create(spark, scratch(spark, "live"), quotes_spec(1024), cycle="1d")
-    store.append(q.where("sym < 'N'"), ["ts", "sym", "bid_px"], budgets=False)
+    store.append(q.where("sym < 'N'"), ["ts", "sym", "bid_px"])
     frozen = store.snapshot()
-    store.append(q.where("sym >= 'N'"), ["ts", "sym", "bid_px"], budgets=False)
+    store.append(q.where("sym >= 'N'"), ["ts", "sym", "bid_px"])
     one = lambda which, snap: snap.batches().agg(F.lit(which).alias("view"), F.sum("row_count").alias("n"))
     return one("frozen", frozen).unionAll(one("now", store.snapshot()))
 
