@@ -113,8 +113,8 @@ def brute_spans(docs, length):
     return out
 
 
-@pytest.mark.parametrize("length, seed, points", [(20, 8, 2_000_000), (20, 8, 64), (30, 30, 500), (100, 40, 2_000_000)])
-def test_shared_spans(spark, monkeypatch, length, seed, points):
+@pytest.mark.parametrize("length, seed, points, rows_of_a_seed", [(20, 8, 2_000_000, 4096), (20, 8, 64, 4096), (30, 30, 500, 3), (100, 40, 2_000_000, 4096), (20, 5, 200, 0)])
+def test_shared_spans(spark, monkeypatch, length, seed, points, rows_of_a_seed):
     r = random.Random(length + points)
     pool = ["".join(r.choice("abcd é漢👍") for _ in range(160)) for _ in range(6)] + ["z" * 150, "xy" * 80]
     docs = []
@@ -126,12 +126,10 @@ def test_shared_spans(spark, monkeypatch, length, seed, points):
             parts += [p[a : a + r.randrange(150)], "".join(r.choice("efgh") for _ in range(r.randrange(30)))]
         docs.append((d, "".join(parts)))
     docs += [(500, None), (501, ""), (None, pool[0]), (502, pool[1]), (503, pool[1]), (504, "own " * 300)]
-    old = spans.CHUNK_POINTS
-    monkeypatch.setattr(spans, "CHUNK_POINTS", points)
-    if points != old:  # workers import the module anew, so that the pieces are cut here
-        found = list(pieces_of(docs, length, points))
-        assert {(i, b + j, p[j : j + length]) for i, b, p in found for j in range(len(p) - length + 1)} == {(d, s, t[s : s + length]) for d, t in docs if d is not None and t for s in range(len(t) - length + 1)}
-    rows = spans.shared_spans(documents(spark, docs), "doc_id", "text", length, seed).collect()
+    found = list(pieces_of(docs, length, points))
+    assert {(i, b + j, p[j : j + length]) for i, b, p in found for j in range(len(p) - length + 1)} == {(d, s, t[s : s + length]) for d, t in docs if d is not None and t for s in range(len(t) - length + 1)}
+    monkeypatch.setattr(spans, "OPEN_ROWS", rows_of_a_seed)
+    rows = spans.shared_spans(documents(spark, docs), "doc_id", "text", length, seed, points).collect()
     assert {tuple(x) for x in rows} == brute_spans(docs, length) and len(rows) == len(set(rows)) >= 20
 
 
@@ -140,7 +138,7 @@ def pieces_of(docs, length, points):
 
     rows = [(d, t) for d, t in docs if d is not None and t is not None]
     batch = pa.record_batch([pa.array([d for d, _ in rows]), pa.array([t for _, t in rows])], names=["id", "t"])
-    for ids, base, parts, _ in spans._pieces(iter([batch]), length - 1):
+    for ids, base, parts in spans._pieces(iter([batch]), length - 1, points):
         yield from zip(ids, base, parts)
 
 
