@@ -18,6 +18,7 @@ from .runs import collapse_runs
 from .spans import shared_spans
 
 PROBABILITIES = [0.5, 0.9, 0.99, 0.999]
+SMALL = 16  # values of a buffer in p5_bounds
 TOKENIZERS = os.environ.get("BATCHLOOM_TOKENIZERS", "/opt/tokenizers")
 
 
@@ -56,6 +57,21 @@ def p5_from_days(spark: SparkSession, base: str) -> DataFrame:
     return _shown(combine(daily, ["field", "sym"], per_key=366))
 
 
+def p5_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """Summaries of buffers so small that they collapse many times: whether each percentile lies within its stated bound
+    of its exact rank."""
+    values = _values(spark, base).where("v IS NOT NULL")
+    q = quantiles(combine(summarise(values, ["field", "sym"], "v", SMALL), ["field", "sym"], SMALL), ["field", "sym"], PROBABILITIES)
+    q = q.withColumnsRenamed({"field": "f", "sym": "s"})
+    met = values.join(q, F.expr("field = f AND sym <=> s"))
+    counts = met.groupBy("field", "sym", "n", "error", "q").agg(*[F.count_if(F.col("v") < F.col("q")[i]).alias(f"below{i}") for i in range(len(PROBABILITIES))], *[F.count_if(F.col("v") <= F.col("q")[i]).alias(f"upto{i}") for i in range(len(PROBABILITIES))])
+    rank = [F.greatest(F.lit(1).cast("bigint"), F.ceil(F.round(F.lit(p) * F.col("n"), 9))) for p in PROBABILITIES]
+    near = [(F.col(f"below{i}") + 1 - F.col("error") <= r) & (F.col(f"upto{i}") + F.col("error") >= r) for i, r in enumerate(rank)]
+    levels = F.greatest(F.ceil(F.log2(F.col("n") / F.lit(float(SMALL)))), F.lit(0))
+    small = F.col("error") <= F.col("n") * levels / F.lit(2.0 * SMALL)
+    return counts.select("field", "sym", "n", (F.col("error") > 0).alias("collapsed"), small.alias("bound_is_small"), *[c.alias(f"within{i}") for i, c in enumerate(near)])
+
+
 def p6_found(spark: SparkSession, base: str) -> DataFrame:
     quotes = table(spark, base, "quotes").where("bid_px IS NOT NULL")
     return nearest(table(spark, base, "trades"), quotes, "sym", "ts", "row_id", "quote_id").select("row_id", "quote_id")
@@ -81,7 +97,7 @@ def p10_passages(spark: SparkSession, base: str) -> DataFrame:
     return shared_passages(table(spark, base, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p5_percentiles, p5_from_days, p6_found, p8_ids, p9_found, p9_paraphrases, p10_found, p10_passages)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_runs, p5_percentiles, p5_from_days, p5_bounds, p6_found, p8_ids, p9_found, p9_paraphrases, p10_found, p10_passages)}
 
 _P2 = """
 WITH q AS (SELECT *, lag(ts) OVER s AS t0, lag(bid_px) OVER s AS b0, lag(ask_px) OVER s AS a0 FROM quotes WHERE sym IS NOT NULL WINDOW s AS (PARTITION BY sym ORDER BY ts, quote_id)),
@@ -95,7 +111,7 @@ runs AS (
 )
 """
 
-# Up to 4,096 values of a group its summary is exact, and its rank error 0: so for every sym at the scale of this check.
+# Up to 65,536 values of a group its summary is exact, and its rank error 0: so for every sym at the scale of this check.
 _P5 = """
 SELECT field, sym, count(v) AS n, CAST(0 AS BIGINT) AS rank_error, quantile_disc(v, 0.5) AS p50, quantile_disc(v, 0.9) AS p90, quantile_disc(v, 0.99) AS p99, quantile_disc(v, 0.999) AS p99_9
 FROM (SELECT 'px' AS field, sym, px AS v FROM trades UNION ALL SELECT 'sz', sym, CAST(sz AS BIGINT) FROM trades) WHERE v IS NOT NULL GROUP BY field, sym"""
@@ -113,6 +129,10 @@ SQL = {
     "p2_runs": _P2 + "SELECT sym, first_quote_id, last_quote_id, n, seconds FROM runs",
     "p5_percentiles": _P5,
     "p5_from_days": _P5,
+    # Two full buffers of 16 values collapse; every value returned must then lie within the tracked bound of its rank.
+    "p5_bounds": """
+SELECT field, sym, count(v) AS n, count(v) >= 32 AS collapsed, true AS bound_is_small, true AS within0, true AS within1, true AS within2, true AS within3
+FROM (SELECT 'px' AS field, sym, px AS v FROM trades UNION ALL SELECT 'sz', sym, CAST(sz AS BIGINT) FROM trades) WHERE v IS NOT NULL GROUP BY field, sym""",
     "p6_found": """
 WITH q AS (SELECT sym, ts, min(quote_id) AS quote_id FROM quotes WHERE sym IS NOT NULL AND bid_px IS NOT NULL AND quote_id IS NOT NULL GROUP BY sym, ts),
 t AS (SELECT row_id, sym, ts FROM trades WHERE sym IS NOT NULL),
