@@ -2,10 +2,11 @@
 
 1. Corpus passages (blocks of consecutive words) become TF-IDF vectors over hashed terms; document frequencies come from
    all passages.
-2. A distributed randomised SVD finds the latent space: every task adds up its share of A'(A R) for a random R, the
-   shares are summed by Spark and the driver orthonormalises one matrix of fixed size.
+2. A distributed randomised SVD finds the latent space: every task adds up its share of Y = A'(A R) for a random R of a
+   few columns more than the rank, the shares are summed in a tree of bounded fan-in, and the driver takes the leading
+   right singular vectors of A from the sketch (R, Y), both of fixed size.
 3. Windows of the items (every position) and of the documents (side by side) are projected and compared by cosine.
-4. Candidates are checked word by word.
+4. Candidates are checked by the longest common subsequence of the words around both windows; those left, word by word.
 
 The windows make the retrieval lossless for verbatim leaks. A run of r words shared with an item holds, whatever its
 position, one whole document window of m words if r >= 2 m - 1; that window and the item's window at the same place
@@ -29,7 +30,8 @@ from .words import WordHashes, words
 
 RUN = 13
 TERMS = 1 << 15  # hashed term space
-RANK = 32
+RANK, EXTRA = 32, 8  # dimensions of the latent space, further columns of the sketch
+FAN_IN = 32  # vectors that one task adds up
 PASSAGE = 32  # words of a TF-IDF passage
 SIZES = (1, 2, 3, 5, 7)  # window sizes in words, for runs of at least 1, 3, 5, 9 and 13 words
 COSINE = 0.9999
@@ -89,14 +91,23 @@ def _passages(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.unique((np.cumsum(mark) - 1) * TERMS + _terms(hashes), return_counts=True)
 
 
-def _add_up(parts: DataFrame) -> np.ndarray:
-    """Sum of equally long float64 vectors in rows (part int, share binary), in the order of part; of a fixed size."""
+def _add_up(parts: DataFrame, tasks: int) -> np.ndarray:
+    """Sum of equally long float64 vectors in rows (part int, share binary), in the order of part; of a fixed size.
+
+    The vectors of ``tasks`` tasks are summed in rounds, each of FAN_IN vectors at most by one task.
+    """
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(b, np.float64) for b in pdf["share"])
-        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "share": [total.tobytes()]})
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "lane": [pdf["lane"].iloc[0]], "share": [total.tobytes()]})
 
-    rows = sorted(parts.groupBy("part").applyInPandas(add, "part int, share binary").collect())
-    return np.concatenate([np.frombuffer(r["share"], np.float64) for r in rows]) if rows else np.empty(0)
+    rows = parts.withColumn("lane", F.spark_partition_id())
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        rows = rows.withColumn("lane", F.floor(F.col("lane") / FAN_IN).cast("int")).groupBy("part", "lane").applyInPandas(add, "part int, lane int, share binary")
+    total: dict[int, np.ndarray] = {}
+    for r in rows.select("part", "share").toLocalIterator():
+        total[r["part"]] = total.get(r["part"], 0) + np.frombuffer(r["share"], np.float64)
+    return np.concatenate([total[k] for k in sorted(total)]) if total else np.empty(0)
 
 
 def _emit(vector: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -115,14 +126,16 @@ def latent_space(corpus: DataFrame) -> np.ndarray:
                 total[TERMS] += len(_blocks(counts, PASSAGE, False))
         yield _emit(total, 1)
 
-    seen = _add_up(corpus.mapInArrow(frequencies, "part int, share binary"))
+    tasks = 1 + corpus.select(F.spark_partition_id().alias("p")).agg(F.coalesce(F.max("p"), F.lit(0))).first()[0]
+    seen = _add_up(corpus.mapInArrow(frequencies, "part int, share binary"), tasks)
     idf = np.log1p(seen[TERMS] / (1 + seen[:TERMS])) if len(seen) else np.ones(TERMS)
-    start = np.random.default_rng(20160104).standard_normal((TERMS, RANK)).astype(np.float32)
+    width = RANK + EXTRA
+    start = np.linalg.qr(np.random.default_rng(20160104).standard_normal((TERMS, width)))[0].astype(np.float32)
     shared = corpus.sparkSession.sparkContext.broadcast((idf, start))
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, start = shared.value
-        total = np.zeros((RANK, TERMS))
+        total = np.zeros((width, TERMS))
         for _, flat, counts in _slices(batches):
             if not len(flat):
                 continue
@@ -133,15 +146,43 @@ def latent_space(corpus: DataFrame) -> np.ndarray:
             norm = np.sqrt(np.add.reduceat(weight**2, first))
             weight = weight / np.repeat(norm, np.diff(np.append(first, len(passage))))
             projected = np.add.reduceat(start[term] * weight[:, None], first)
-            for k in range(RANK):
+            for k in range(width):
                 total[k] += np.bincount(term, projected[:, k][passage] * weight, minlength=TERMS)
-        yield _emit(total.ravel(), 32)
+        yield _emit(total.ravel(), width)
 
-    summed = _add_up(corpus.mapInArrow(sketch, "part int, share binary"))
-    basis, _ = np.linalg.qr(summed.reshape(RANK, TERMS).T) if len(summed) else (start, None)
+    summed = _add_up(corpus.mapInArrow(sketch, "part int, share binary"), tasks)
+    basis = leading(start, summed.reshape(width, TERMS).T) if len(summed) else start[:, :RANK]
     return (basis * idf[:, None]).astype(np.float32)
 
 
+def leading(start: np.ndarray, sketch: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors of A from R = ``start`` and A'A R = ``sketch``.
+
+    A'A is replaced by its Nystroem approximation on the range of the sketch, whose eigenvectors follow from one small
+    Cholesky factor and one thin SVD; a shift by rounding error keeps the factor defined.
+    """
+    start = start.astype(np.float64)
+    shift = np.sqrt(start.shape[0]) * np.finfo(np.float32).eps * max(np.linalg.norm(sketch), 1e-30)
+    moved = sketch + shift * start
+    core = start.T @ moved
+    factor = np.linalg.cholesky((core + core.T) / 2)
+    left, _, _ = np.linalg.svd(np.linalg.solve(factor, moved.T).T, full_matrices=False)
+    return left[:, :rank]
+
+
+def common(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two word sequences, by one integer of bits per word of ``a``."""
+    masks: dict[int, int] = {}
+    for i, w in enumerate(b.tolist()):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(b)) - 1
+    row = full
+    for w in a.tolist():
+        hit = row & masks.get(w, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(b) - row.bit_count()
+
+
 class Items:
     """The windows of a block of items, by window size."""
 
@@ -212,7 +253,8 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
 
     Defined cases: documents or items with null key or text, and passages without words, give no rows; texts of any
     length are searched whole; rows that share a key count as one document; empty tables give no rows; only the named
-    columns are read, so that others may clash.
+    columns are read, so that others may clash. Items are a query set: they are read through the driver in blocks of
+    BLOCK_WINDOWS words (about 60 MB of vectors and hashes), each of which is one broadcast and one pass over the corpus.
     """
     out = T.StructType([T.StructField(doc_key, T.LongType()), T.StructField(item_key, T.LongType())])
     texts = docs.select(F.col(doc_key).cast("bigint").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
@@ -238,6 +280,11 @@ def find_leaks(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_
                     d, i = _near(_project(space, flat, at, m), targets[m], COSINE)
                     at, i_at, item = at[d], i_at[i], which[i]
                     doc = np.searchsorted(end, at, "right")
+                    # A run of the item's words is a common subsequence of what surrounds the two windows.
+                    low, high = np.maximum(begin[doc], at - run), np.minimum(end[doc], at + m + run)
+                    i_low, i_high = np.maximum(items.begin[item], i_at - run), np.minimum(items.end[item], i_at + m + run)
+                    likely = np.array([common(items.flat[p:q], flat[x:y]) >= n for p, q, x, y, n in zip(i_low, i_high, low, high, items.need[item])], bool)
+                    doc, item, at, i_at = doc[likely], item[likely], at[likely], i_at[likely]
                     n = _longest(flat, begin[doc], end[doc], at, items.flat, items.begin[item], items.end[item], i_at, run)
                     good = n >= items.need[item]
                     hits.append(np.stack([doc[good], item[good]], axis=1))

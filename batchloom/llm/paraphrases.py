@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .leaks import BLOCK_WINDOWS, PASSAGE, _near, _slices, _terms, latent_space, tokens
+from .leaks import BLOCK_WINDOWS, PASSAGE, _near, _slices, _terms, common, latent_space, tokens
 from .words import WordHashes, words
 
 STRIDE = 8
@@ -59,19 +59,6 @@ def signatures(flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Length of the longest common subsequence of two word sequences, by one integer of bits per word of ``a``."""
-    masks: dict[int, int] = {}
-    for i, w in enumerate(b.tolist()):
-        masks[w] = masks.get(w, 0) | 1 << i
-    full = (1 << len(b)) - 1
-    row = full
-    for w in a.tolist():
-        hit = row & masks.get(w, 0)
-        row = ((row + hit) | (row - hit)) & full
-    return len(b) - row.bit_count()
-
-
 def find_paraphrases(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, passage: str, answer: str, cosine: float = COSINE, share: float = SHARE) -> DataFrame:
     """(doc_key, item_key, cosine, share, has_answer): documents that hold a passage, perhaps reworded.
 

@@ -100,3 +100,53 @@ def test_paraphrases(spark):
     assert {x.doc_id: x.share for x in rows}[501] == 1
     assert find_paraphrases(df, "doc_id", "text", known.limit(0), "item_id", "passage", "answer").count() == 0
     assert find_paraphrases(df.limit(0), "doc_id", "text", known, "item_id", "passage", "answer").count() == 0
+
+
+def test_paraphrases_at_the_registered_cosine(spark):
+    """Rewordings of 15% of an item's words, in texts of topics with their own vocabulary."""
+    r = random.Random(16)
+    topics = [[f"t{k}w{i}" for i in range(150)] for k in range(20)]
+    usual = [f"the{i}" for i in range(80)]
+    some = lambda k, n: [r.choice(topics[k]) if r.random() < 0.6 else usual[int(80 * r.random() ** 3)] for _ in range(n)]
+    items = [(i, some(i % 20, r.choice([12, 20, 40, 60]))) for i in range(60)]
+    docs = [(d, some(d % 20, r.randrange(40, 250))) for d in range(600)]
+    planted = []
+    for i, words in items:
+        changed = list(words)
+        for at in r.sample(range(len(words)), len(words) * 15 // 100):
+            changed[at] = r.choice(topics[i % 20])
+        d = r.randrange(600)
+        docs[d][1][10:10] = changed
+        planted.append((d, i))
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id bigint, text string")
+    known = spark.createDataFrame([(i, " ".join(w), w[0]) for i, w in items], "item_id bigint, passage string, answer string")
+    rows = find_paraphrases(df, "doc_id", "text", known, "item_id", "passage", "answer").collect()
+    found = {(x.doc_id, x.item_id) for x in rows}
+    assert len(set(planted) & found) >= 0.9 * len(planted)
+    assert all(x.share >= 0.7 for x in rows)
+
+
+def test_leading_singular_vectors():
+    from batchloom.llm.leaks import leading
+
+    g = np.random.default_rng(17)
+    left, right = np.linalg.qr(g.standard_normal((400, 60)))[0], np.linalg.qr(g.standard_normal((300, 60)))[0]
+    a = left * (0.5 ** np.arange(60)) @ right.T
+    start = np.linalg.qr(g.standard_normal((300, 18)))[0]
+    got = leading(start, a.T @ (a @ start), 10)
+    assert np.allclose(got.T @ got, np.eye(10), atol=1e-8)
+    assert np.abs((got * right[:, :10]).sum(axis=0))[:6].min() > 0.999
+
+
+def test_sums_by_rounds(spark):
+    from batchloom.llm.leaks import _add_up
+
+    def emit(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for k in range(b.num_rows):
+                yield pa.record_batch([pa.array([0, 1], pa.int32()), pa.array([np.full(3, 1.0).tobytes(), np.full(3, 2.0).tobytes()])], names=["part", "share"])
+
+    rows = spark.range(0, 70, numPartitions=70).mapInArrow(emit, "part int, share binary")
+    assert _add_up(rows, 70).tolist() == [70.0] * 3 + [140.0] * 3
