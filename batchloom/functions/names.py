@@ -1,22 +1,21 @@
 """Names, order and packed ids of segments.
 
-A daily segment is named ``20260728.0.seg`` (day, sequence), a shorter cycle's ``20260728.0400.240m.0.seg`` (day, start,
-minutes, sequence). The packed id keeps that order: minutes since 1970 in bits 31-62, cycle minutes in bits 15-30,
-sequence in bits 0-14.
+Fixed values: a daily segment is named ``<day>.<sequence>.seg``, as in ``20260728.0.seg``; a shorter cycle's
+``<day>.<hour and minute>.<minutes>m.<sequence>.seg``, as in ``20260728.0400.240m.0.seg``. The day has 8 digits, the hour
+and minute 4, the cycle 1 to 6, the sequence 1 to 9. The packed id keeps the order of names: minutes since 1970 in bits
+31-62, cycle minutes in bits 15-30, sequence in bits 0-14.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, functions as F
 
 from ..errors import FormatError
 
 SUFFIX = ".seg"
-PATTERN = r"^(\d{8})(?:\.(\d{4})\.(\d{1,6})m)?\.(\d{1,9})\.seg$"
 MAX_SEQ, MAX_CYCLE = (1 << 15) - 1, (1 << 16) - 1
 _EPOCH = date(1970, 1, 1)
 _LAST_MINUTE = ((date(9999, 12, 31) - _EPOCH).days + 1) * 1440 - 1
@@ -32,17 +31,20 @@ class SegmentName:
 
     @classmethod
     def parse(cls, text: str) -> SegmentName:
-        m = re.fullmatch(PATTERN, text)
-        if not m:
+        parts = text.removesuffix(SUFFIX).split(".") if text.endswith(SUFFIX) else []
+        if len(parts) == 2:  # a day's segment
+            parts[1:1] = ["0000", "1440m"]
+        if len(parts) != 4 or not parts[2].endswith("m"):
             raise FormatError(f"not a segment name: {text!r}")
+        day, clock, cycle, seq = parts[0], parts[1], parts[2][:-1], parts[3]
+        for part, least, most in ((day, 8, 8), (clock, 4, 4), (cycle, 1, 6), (seq, 1, 9)):
+            if not (part.isascii() and part.isdigit() and least <= len(part) <= most):
+                raise FormatError(f"not a segment name: {text!r}")
         try:
-            day = date(int(m[1][:4]), int(m[1][4:6]), int(m[1][6:]))
+            start = datetime(int(day[:4]), int(day[4:6]), int(day[6:]), int(clock[:2]), int(clock[2:]))
         except ValueError as e:
             raise FormatError(f"segment name {text!r}: {e}") from None
-        clock = m[2] or "0000"
-        if int(clock[:2]) > 23 or int(clock[2:]) > 59:
-            raise FormatError(f"segment name {text!r}: no such time of day")
-        return cls((day - _EPOCH).days * 1440 + int(clock[:2]) * 60 + int(clock[2:]), int(m[3] or 1440), int(m[4]))
+        return cls((start.date() - _EPOCH).days * 1440 + start.hour * 60 + start.minute, int(cycle), int(seq))
 
     def __str__(self) -> str:
         day = (_EPOCH + timedelta(minutes=self.start_minute)).strftime("%Y%m%d")
@@ -102,11 +104,21 @@ def name_column(start_minute: Column, cycle: Column, seq: Column) -> Column:
 
 
 def name_parts(name: Column) -> tuple[Column, Column, Column]:
-    """(start minute, cycle, sequence) of a segment name, null where it is none."""
-    part = lambda i: F.nullif(F.regexp_extract(name, PATTERN, i), F.lit(""))
-    day = F.unix_date(F.try_to_date(part(1), "yyyyMMdd"))
-    clock = F.coalesce(part(2), F.lit("0000"))
-    minute = F.substring(clock, 1, 2).cast("int") * 60 + F.substring(clock, 3, 2).cast("int")
-    start = (day.cast("bigint") * 1440 + minute).alias("start_minute")
-    known = part(4).isNotNull()
-    return start, F.when(known, F.coalesce(part(3), F.lit("1440")).cast("int")).alias("cycle"), part(4).cast("bigint").alias("seq")
+    """(start minute, cycle, sequence) of a segment name, all null where it is none."""
+    fields = F.split(F.substring_index(name, SUFFIX, 1), "\\.")
+    short = F.size(fields) == 4
+    take = lambda i, least, most: _digits(F.get(fields, F.lit(i)), least, most)
+    cycle = F.when(F.endswith(F.get(fields, F.lit(2)), F.lit("m")), _digits(F.rtrim(F.get(fields, F.lit(2)), F.lit("m")), 1, 6))
+    day = F.unix_date(F.try_to_date(take(0, 8, 8), "yyyyMMdd")).cast("bigint")
+    clock = F.when(short, take(1, 4, 4)).otherwise("0000")
+    hour, minute = F.substring(clock, 1, 2).cast("int"), F.substring(clock, 3, 2).cast("int")
+    start = day * 1440 + F.when((hour < 24) & (minute < 60), hour * 60 + minute)
+    cycle = F.when(short, cycle).otherwise("1440").cast("int")
+    seq = F.when(short, take(3, 1, 9)).otherwise(take(1, 1, 9)).cast("bigint")
+    known = F.endswith(name, F.lit(SUFFIX)) & F.size(fields).isin(2, 4) & start.isNotNull() & cycle.isNotNull() & seq.isNotNull()
+    return F.when(known, start).alias("start_minute"), F.when(known, cycle).alias("cycle"), F.when(known, seq).alias("seq")
+
+
+def _digits(part: Column, least: int, most: int) -> Column:
+    """``part`` if it has only digits and so many of them, else null."""
+    return F.when(F.length(part).between(least, most) & (F.translate(part, "0123456789", "") == ""), part)

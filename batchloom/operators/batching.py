@@ -18,6 +18,12 @@ from ..functions.cycle import RollCycle
 from ..staging import stage
 
 SLICE_ROWS = 512  # rows that look up their batch together
+BROADCAST_ROWS = 100_000  # of a few numbers each, up to which a table of offsets is broadcast
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, to be broadcast if a count finds few rows; otherwise joins shuffle."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def positions(df: DataFrame, order: list[str], within: list[str] | None = None) -> DataFrame:
@@ -35,7 +41,7 @@ def positions(df: DataFrame, order: list[str], within: list[str] | None = None)
     group = Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))
     before = F.coalesce(F.sum("_n").over(group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = counts.select("_part", *within, (before - F.col("_first")).alias("_shift"))
-    joined = arranged.alias("r").join(offsets.alias("o"), F.expr(" AND ".join(f"r.`{c}` <=> o.`{c}`" for c in ["_part", *within])))
+    joined = arranged.alias("r").join(small(offsets).alias("o"), F.expr(" AND ".join(f"r.`{c}` <=> o.`{c}`" for c in ["_part", *within])))
     return joined.select(*[F.col(f"r.`{c}`") for c in df.columns], (F.col("_number") + F.col("_shift")).alias("pos"))
 
 
@@ -93,6 +99,11 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
         size = F.coalesce(F.octet_length(f"`{c}`"), F.lit(0))
         lengths.append(F.when(size > cap, F.raise_error(F.lit(f"{c}: a value is longer than its byte budget")).cast("int")).otherwise(size).alias(f"_size{columns.index(c)}"))
     sizes = ranked.select(*within, "pos", *lengths)
+    held, used = (carry[1], carry[2] or [0] * len(caps)) if carry else (0, [0] * len(caps))
+    longest = sizes.agg(*[F.coalesce(F.max(f"_size{i}"), F.lit(0)) for i in range(len(caps))]).first()
+    if all(n * batch_rows <= cap and u + n * (batch_rows - held) <= cap for n, cap, u in zip(longest, caps, used)):
+        ahead = F.when(F.col(f"`{within[0]}`") == F.lit(carry[0]), F.lit(held)).otherwise(0) if carry else F.lit(0)
+        return ranked.withColumn("batch", F.floor((F.col("pos") + ahead) / F.lit(batch_rows)).cast("bigint"))  # no budget can overflow
     keyed = [df.schema[c] for c in within]
     packed = T.StructType(keyed + [T.StructField("first", T.LongType()), T.StructField("sizes", T.BinaryType())])
     schema, n_within = to_arrow_schema(packed), len(within)

@@ -1,25 +1,35 @@
-"""SQL access: a Python data source over a table store, with filters pushed into the zone map.
+"""SQL access: a Python data source over a table store, pruned by the catalog.
 
-Register with ``spark.dataSource.register(SegmentSource)`` and read with ``spark.read.format("batchloom")
-.option("path", folder).load()``; filters reach the reader if ``spark.sql.python.filterPushdown.enabled`` is true. The
-store's own ``scan`` is the faster route, as Spark's Parquet reader stays inside the JVM; this one exists for plain SQL.
+``register(spark)`` makes ``spark.read.format("batchloom").option("path", folder).load()`` and SQL over it available and
+turns on ``spark.sql.python.filterPushdown.enabled``, without which Spark refuses readers that take filters; a session
+that must leave it off reads with ``.option("pushdown", "false")``. The store's own ``scan`` is the faster route, as
+Spark's Parquet reader stays inside the JVM; this one exists for plain SQL.
 """
 
 from __future__ import annotations
 
-import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.dataset as ds
-import pyarrow.parquet as pq
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import FormatError
+from .log import state_at
 from .spec import TableSpec
 
 
+def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(SegmentSource)
+
+
 class SegmentSource(DataSource):
     """Tables on a file system that every executor mounts."""
 
@@ -38,12 +48,17 @@ class SegmentSource(DataSource):
         return self._spec().spark_schema
 
     def reader(self, schema) -> DataSourceReader:
-        return SegmentReader(self._root(), self._spec(), schema)
+        kind = SegmentReader if self.options.get("pushdown", "true").lower() == "false" else PruningReader
+        return kind(self._root(), self._spec(), schema)
 
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
+@dataclass
+class BatchRange(InputPartition):
+    """The batches of one file that may hold matching rows."""
+
+    path: str
+    first: int
+    last: int
 
 
 class SegmentReader(DataSourceReader):
@@ -51,55 +66,67 @@ class SegmentReader(DataSourceReader):
         self.root, self.spec, self.out = root, spec, schema
         self.bounds: dict[str, list] = {}
 
+    def _text(self, name: str) -> str | None:
+        path = f"{self.root}/{name}"
+        if not os.path.exists(path):
+            return None
+        with open(path) as f:
+            return f.read()
+
+    def partitions(self) -> list[BatchRange]:
+        """One per file with surviving batches: segments that are detached or tombstoned are left out, and batches of
+        which the catalog knows that they cannot match."""
+        names = os.listdir(f"{self.root}/_log") if os.path.isdir(f"{self.root}/_log") else []
+        state = state_at(names, self._text, self.spec.sha256)
+        folders = [state.catalog] * bool(state.catalog) + [f"_batches/{a}" for a in state.attempts]
+        columns = ["segment_id", "batch", "file", "ts_min", "ts_max", "stat_min", "stat_max", "schema_sha256"]
+        parts = [ds.dataset(f"{self.root}/{f}", format="parquet").to_table(columns=columns) for f in folders]
+        if not parts:
+            return []
+        rows = pa.concat_tables(parts)
+        if set(rows["schema_sha256"].unique().to_pylist()) - {self.spec.sha256}:
+            raise FormatError("segments of several schemas cannot be scanned together")
+        keep = pc.invert(pc.is_in(rows["segment_id"], pa.array([int(s) for s in state.tombstones], pa.int64())))
+        if state.watermark is not None:
+            keep = pc.and_(keep, pc.greater(rows["segment_id"], state.watermark))
+        for column, (low, high) in self.bounds.items():
+            for name in [n for n, c in (("ts", self.spec.time_column), ("stat", self.spec.stats_column)) if c == column]:
+                # Null bounds are those of a batch without values, which no comparison matches.
+                if low is not None:
+                    keep = pc.and_(keep, pc.fill_null(pc.greater_equal(rows[f"{name}_max"], pa.scalar(low).cast(rows.schema.field(f"{name}_max").type)), False))
+                if high is not None:
+                    keep = pc.and_(keep, pc.fill_null(pc.less_equal(rows[f"{name}_min"], pa.scalar(high).cast(rows.schema.field(f"{name}_min").type)), False))
+        reach = rows.filter(keep).group_by("file").aggregate([("batch", "min"), ("batch", "max")])
+        return [BatchRange(f"{self.root}/data/{f}", a, b) for f, a, b in sorted(zip(*(reach[c].to_pylist() for c in ("file", "batch_min", "batch_max"))))]
+
+    def read(self, partition: BatchRange):
+        arrow = to_arrow_schema(self.out)
+        within = (ds.field("batch") >= partition.first) & (ds.field("batch") <= partition.last)
+        for batch in ds.dataset(partition.path, format="parquet").to_batches(columns=arrow.names, filter=within):
+            yield batch.cast(arrow)
+
+
+class PruningReader(SegmentReader):
+    """Takes filters; a batch is open or sealed alike here, as every row of a commit is covered by its bounds."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Remember bounds on the time and stats columns; every filter stays with Spark as well, as pruning is coarse."""
         for f in filters:
             column = ".".join(getattr(f, "attribute", ()))
             if column in (self.spec.time_column, self.spec.stats_column):
                 low, high = self.bounds.setdefault(column, [None, None])
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    low = f.value if low is None else max(low, f.value)
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    high = f.value if high is None else min(high, f.value)
+                value = _whole(f.value) if hasattr(f, "value") else None
+                if value is not None and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    low = value if low is None else max(low, value)
+                if value is not None and isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    high = value if high is None else min(high, value)
                 self.bounds[column] = [low, high]
             yield f
 
-    def partitions(self) -> list[FilePartition]:
-        out = []
-        gone: set[int] = set()
-        folder = f"{self.root}/_log"
-        commits = []
-        for name in sorted(os.listdir(folder)) if os.path.isdir(folder) else []:
-            if name.endswith(".json") and name[:-5].isdigit():
-                with open(f"{folder}/{name}") as f:
-                    commits.append((name[:-5], json.load(f)))
-                gone |= set(commits[-1][1].get("tombstones") or [])
-        for version, c in commits:
-            if c.get("schema_sha256") != self.spec.sha256:
-                raise FormatError("segments of several schemas cannot be scanned together")
-            if c.get("files"):
-                data = f"{self.root}/data/commit={version}"
-                for segment in sorted(os.listdir(data)):
-                    if segment.startswith("segment=") and int(segment[8:]) not in gone:
-                        out += [FilePartition(f"{data}/{segment}/{n}") for n in sorted(os.listdir(f"{data}/{segment}")) if n.endswith(".parquet") and self._may_match(f"{data}/{segment}/{n}")]
-        return out
-
-    def _may_match(self, path: str) -> bool:
-        """By the row-group statistics of the file's footer."""
-        meta = pq.read_metadata(path)
-        names = [meta.schema.column(i).name for i in range(meta.num_columns)]
-        for column, (low, high) in self.bounds.items():
-            stats = [meta.row_group(g).column(names.index(column)).statistics for g in range(meta.num_row_groups)]
-            if any(s is None or not s.has_min_max for s in stats):
-                continue
-            try:
-                if (low is not None and all(s.max < low for s in stats)) or (high is not None and all(s.min > high for s in stats)):
-                    return False
-            except TypeError:
-                continue  # a bound of another kind (say, a naive time): leave the file to Spark
-        return True
-
-    def read(self, partition: FilePartition):
-        arrow = to_arrow_schema(self.out)
-        for batch in ds.dataset(partition.value, format="parquet").to_batches(columns=arrow.names):
-            yield batch.cast(arrow)
+
+def _whole(value: object) -> int | None:
+    """A bound as the catalog counts: integers as they are, instants in microseconds; None for what has no such form."""
+    if isinstance(value, datetime):
+        instant = value if value.tzinfo else value.replace(tzinfo=timezone.utc)
+        return (instant - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+    return value if type(value) is int else None

@@ -3,61 +3,49 @@
 Layout of a table's folder::
 
     spec.json                         the specification
-    _log/<version>.json               one small file per commit: its files, sealed batches, tombstones, writer state
-    _log/<version>.digest             all commits up to a version in one file, so that readers open few
-    _batches/commit=<version>/        one Parquet row per batch that the commit wrote (a partial zone map)
-    data/commit=<version>/segment=<id>/part-*.parquet
-    .detach                           detach watermark (a reader's sidecar)
+    _log/<version>.json, .digest      commits and, now and then, the state they amount to (see ``log``)
+    _batches/<attempt>/               a Parquet row per batch and file that one commit wrote (a partial zone map)
+    _catalog/<attempt>/               all such rows up to a digest
+    data/commit=<attempt>/segment=<id>/part-*.parquet
     _heartbeat.json                   the live writer's counter
 
-A commit is published by creating its log file, which fails if another writer was first; nothing else is ever changed.
-Readers pin a version and see neither later commits nor files of unfinished ones. A batch that several commits filled
-has several manifest rows: they are partial aggregates, which the catalog sums up.
+A commit is published by creating its log file, which fails if another writer was first; nothing else is ever changed,
+and what an attempt writes lies below a name of its own, so that one which loses the race harms nobody's rows. Readers pin
+a version and see neither later commits nor files of unfinished ones. A batch that several commits filled, or that lies
+in several files, has several manifest rows: they are partial aggregates, which the catalog sums up.
 """
 
 from __future__ import annotations
 
 import json
 import logging
+import threading
 import time
-from dataclasses import dataclass, field
+import uuid
+from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..errors import FormatError, SegmentFull, StateError
 from ..functions.cycle import MINUTE_US, RollCycle
 from ..functions.names import SegmentName, id_column, id_parts, name_column
 from ..functions.timeexpr import micros
-from ..operators.batching import by_byte_budget, positions
+from ..operators.batching import by_byte_budget, positions, small
 from ..operators.zonemap import null_counts, survives
 from .files import Files
+from .log import DIGEST_EVERY, State, Tail, known_watermark, numbered, state_at
 from .spec import TableSpec
 
 log = logging.getLogger(__name__)
 
-DIGEST_EVERY = 64  # commits between digests of the log
-DETACH_FILE, DETACH_MAGIC = ".detach", "batchloom-detach v1"
-_BATCH_ROW = "segment_id bigint, interval_start bigint, cycle int, seq int, batch bigint, row_count bigint, ts_min bigint, ts_max bigint, stat_min decimal(20,0), stat_max decimal(20,0), epoch bigint, schema_sha256 string"
-
-
-@dataclass
-class Tail:
-    """Where the next row goes: the open batch of the newest interval."""
-
-    interval: int | None = None
-    seq: int = 0
-    batch: int = 0
-    rows: int = 0
-    used: list[int] = field(default_factory=list)
-    sealed: bool = True
-
-    @property
-    def open(self) -> bool:
-        return self.interval is not None and not self.sealed
+ATTEMPTS = 20  # to publish a commit that depends on no other
+RANGES = 256  # segments up to which a scan's batch ranges are pushed down beside the row filter
+_BATCH_ROW = "segment_id bigint, interval_start bigint, cycle int, seq int, batch bigint, file string, row_count bigint, ts_min bigint, ts_max bigint, stat_min decimal(20,0), stat_max decimal(20,0), epoch bigint, schema_sha256 string"
 
 
 class TableStore:
-    """Writer and reader of one table; one writer at a time."""
+    """Writer and reader of one table; one writer at a time, others are refused."""
 
     def __init__(self, spark: SparkSession, path: str, cycle: str = "1d", max_batches: int = 1024, max_segments: int | None = None, rotation_time: str = "event"):
         self.spark, self.path = spark, path.rstrip("/")
@@ -68,6 +56,8 @@ class TableStore:
         self.rotation_time = rotation_time
         self.epoch: int | None = None
         self._spec: TableSpec | None = None
+        # A heartbeat may come from another thread than rows do.
+        self._writing, self._beating = threading.RLock(), threading.Lock()
 
     # -- definition -------------------------------------------------------------------------------------------------
 
@@ -101,39 +91,53 @@ class TableStore:
     # -- log --------------------------------------------------------------------------------------------------------
 
     def versions(self) -> list[int]:
-        return [int(n[:-5]) for n in self.files.names("_log") if n.endswith(".json") and n[:-5].isdigit()]
-
-    def _commits(self, version: int | None = None) -> list[dict]:
-        """All commits up to ``version``: the newest digest that is not later, and the log files after it."""
-        names = self.files.names("_log")
-        known = lambda suffix: [int(n.removesuffix(suffix)) for n in names if n.endswith(suffix) and n.removesuffix(suffix).isdigit()]
-        wanted = [v for v in known(".json") if version is None or v <= version]
-        digest = max((v for v in known(".digest") if version is None or v <= version), default=0)
-        try:
-            out = json.loads(self.files.read(f"_log/{digest:012d}.digest")) if digest else []
-            out += [json.loads(self.files.read(f"_log/{v:012d}.json")) | {"version": v} for v in wanted if v > digest]
-        except (ValueError, TypeError) as e:
-            raise FormatError(f"malformed commit log: {e}") from None
-        return out
-
-    def _commit(self, version: int | None = None, **content: object) -> int:
-        version = version or max(self.versions(), default=0) + 1
-        self.files.publish(f"_log/{version:012d}.json", json.dumps(content | {"epoch": self.epoch, "at": time.time(), "schema_sha256": self.spec.sha256}))
-        if version % DIGEST_EVERY == 0:
-            self.files.publish(f"_log/{version:012d}.digest", json.dumps(self._commits(version)), replace=True)
-        return version
+        return numbered(self.files.names("_log"), ".json")
+
+    def state(self, version: int | None = None) -> State:
+        return state_at(self.files.names("_log"), self.files.read, self.spec.sha256, version)
+
+    def _commit(self, seen: State | None = None, **content: object) -> int:
+        """Publish a commit on top of whatever is there, unless rows or the tail have changed since ``seen``."""
+        for _ in range(ATTEMPTS):
+            now = self.state()
+            if seen is not None and now.moved != seen.moved:
+                raise StateError(f"version {now.moved} exists already: another writer was first")
+            version = now.version + 1
+            try:
+                self.files.publish(f"_log/{version:012d}.json", json.dumps(content | {"epoch": self.epoch, "at": time.time(), "schema_sha256": self.spec.sha256}))
+            except StateError:
+                continue
+            if version % DIGEST_EVERY == 0:
+                self._digest(version)
+            return version
+        raise StateError("other writers were first again and again")
+
+    def _digest(self, version: int) -> None:
+        state = self.state(version)
+        folder = f"_catalog/{version:012d}-{uuid.uuid4().hex}"
+        rows = self.partials(state)
+        rows.coalesce(max(1, len(state.attempts) // DIGEST_EVERY)).write.parquet(f"{self.path}/{folder}")
+        state.catalog, state.attempts = folder, []
+        self.files.publish(f"_log/{version:012d}.digest", json.dumps(asdict(state)), replace=True)
 
     def tail(self) -> Tail:
-        for c in reversed(self._commits()):
-            if "tail" in c:
-                return Tail(**c["tail"])
-        return Tail()
+        return self.state().position
 
     # -- writing ----------------------------------------------------------------------------------------------------
 
-    def open_writer(self) -> int:
-        """Start a writer: its epoch is one above any before it."""
-        self.epoch = 1 + max((c.get("epoch") or 0 for c in self._commits()), default=0)
+    def open_writer(self, now_us: int | None = None) -> int:
+        """Start a writer: its epoch is one above any before it. With ``now_us`` it opens the next free segment of that
+        instant's interval at once; an open batch of the writer before stays in progress, as its end is unknown."""
+        state = self.state()
+        self.epoch = 1 + state.epoch
+        if now_us is not None:
+            tail = state.position
+            interval = max(self.cycle.floor(now_us), tail.interval if tail.interval is not None else self.cycle.floor(now_us))
+            left = [[_packed(tail, self.cycle), tail.batch, state.tail_epoch, True]] if tail.open else []
+            taken = self.partials(state).where((F.col("interval_start") == interval) & (F.col("cycle") == self.cycle.minutes)).agg(F.max("seq")).first()[0]
+            held = [SegmentName.from_id(m[0]).seq for m in [*state.marks, *left] if SegmentName.from_id(m[0]).start_minute == interval // MINUTE_US]
+            seq = 1 + max([-1 if taken is None else taken, *held])
+            self._commit(state, kind="open", marks=left, tail=asdict(Tail(interval, seq, 0, 0, [0] * len(self.spec.budgets), False)))
         return self.epoch
 
     def _checked(self, df: DataFrame) -> list[Column]:
@@ -166,16 +170,25 @@ class TableStore:
 
         ``source``: (query, micro-batch) of a stream; one that has been committed before is skipped. An empty ``df``
         commits nothing. With rotation by event time, rows go to the interval of their timestamp (null: that of the
-        open batch, else of now); by processing time, all to the interval of ``now_us``.
+        open batch, else of now); by processing time, all to the interval of ``now_us``. An attempt that fails, or finds
+        another writer's rows committed meanwhile, leaves nothing behind.
         """
-        if self.epoch is None:
-            self.open_writer()
-        commits = self._commits()
-        if source and any(c.get("source") == list(source) for c in commits):
-            return None
-        now = int(time.time() * 1e6) if now_us is None else now_us
-        tail, spec = self.tail(), self.spec
-        version = max(self.versions(), default=0) + 1
+        with self._writing:
+            if self.epoch is None:
+                self.open_writer()
+            seen = self.state()
+            if source and source[1] <= seen.sources.get(source[0], -1):
+                return None
+            attempt = f"{seen.version + 1:012d}-{uuid.uuid4().hex}"
+            try:
+                return self._append(df, order, seen, attempt, int(time.time() * 1e6) if now_us is None else now_us, source, budgets)
+            except BaseException:
+                self.files.delete(f"data/commit={attempt}")
+                self.files.delete(f"_batches/{attempt}")
+                raise
+
+    def _append(self, df: DataFrame, order: list[str], seen: State, attempt: str, now: int, source: tuple[str, int] | None, budgets: bool) -> int | None:
+        tail, spec = seen.position, self.spec
         present = tail.interval if tail.interval is not None else self.cycle.floor(now)
         if self.rotation_time == "processing":
             interval = F.lit(max(self.cycle.floor(now), present))  # a clock that steps back opens no earlier interval
@@ -194,53 +207,69 @@ class TableStore:
             ahead = F.when(F.col("_interval") == F.lit(tail.interval), F.lit(tail.rows)).otherwise(0) if tail.open else F.lit(0)
             placed = placed.withColumn("batch", F.floor((F.col("pos") + ahead) / F.lit(spec.batch_rows)))
         # Later intervals begin at their next free segment; the open one goes on where it stopped.
-        taken = self.snapshot_or_empty(commits).groupBy("interval_start", "cycle").agg(F.max("seq").alias("_seq")).where(F.col("cycle") == self.cycle.minutes)
-        placed = placed.join(taken.select(F.col("interval_start").alias("_interval"), "_seq"), "_interval", "left")
+        if seen.attempts or seen.catalog or seen.marks:
+            taken = self._partials_with_marks(seen).where(F.col("cycle") == self.cycle.minutes).groupBy(F.col("interval_start").alias("_interval")).agg(F.max("seq").alias("_seq"))
+            placed = placed.join(small(taken), "_interval", "left")
+        else:
+            placed = placed.withColumn("_seq", F.lit(None).cast("int"))
         goes_on = (F.col("_interval") == F.lit(tail.interval)) if tail.open else F.lit(False)
         batch = F.col("batch") + F.when(goes_on, F.lit(tail.batch)).otherwise(0)
         first_seq = F.when(goes_on, F.lit(tail.seq)).otherwise(F.coalesce(F.col("_seq") + 1, F.lit(0)))
         placed = placed.withColumn("_all", batch).withColumn("seq", (first_seq + F.floor(F.col("_all") / self.max_batches)).cast("int")).withColumn("batch", F.pmod(F.col("_all"), F.lit(self.max_batches)).cast("bigint"))
         start = F.floor(F.col("_interval") / MINUTE_US)
         placed = placed.withColumn("segment", id_column(start, F.lit(self.cycle.minutes), F.col("seq")))
-        data = f"{self.path}/data/commit={version:012d}"
         out = placed.select(*[F.col(f"`{n}`") for n in names], "batch", F.col("pos").alias("row_pos"), "segment")
-        # A segment is bounded by its capacity, so that one task may write it; rows keep their arrival order.
-        out.repartition("segment").sortWithinPartitions("segment", "batch", "row_pos").write.mode("overwrite").partitionBy("segment").parquet(data)
+        # Rows come range-partitioned in their order: each task writes its stretch of a segment, without another shuffle.
+        # Pages no longer than a batch let a reader skip single batches by the column index.
+        writer = out.sortWithinPartitions("segment", "batch", "row_pos").write.option("parquet.page.row.count.limit", str(min(20_000, spec.batch_rows)))
+        writer.partitionBy("segment").parquet(f"{self.path}/data/commit={attempt}")
 
-        if not any(n.startswith("segment=") for n in self.files.names(f"data/commit={version:012d}")):
+        if not any(n.startswith("segment=") for n in self.files.names(f"data/commit={attempt}")):
+            self.files.delete(f"data/commit={attempt}")
             return None
-        written = self._read([data])
+        written = self.spark.read.schema(self._data_schema()).option("basePath", f"{self.path}/data").parquet(f"{self.path}/data/commit={attempt}")
         stat = F.col(f"`{spec.stats_column}`").cast("decimal(20,0)") if spec.stats_column else F.lit(None).cast("decimal(20,0)")
         start_minute, cycle, seq = id_parts(F.col("segment"))
-        zones = written.select("segment", "batch", self._time().alias("t"), stat.alias("s"), *[F.octet_length(f"`{c}`").alias(f"b{i}") for i, c in enumerate(spec.budgets)])
-        zones = zones.groupBy("segment", "batch").agg(F.count(F.lit(1)).alias("row_count"), F.min("t").alias("ts_min"), F.max("t").alias("ts_max"), F.min("s").alias("stat_min"), F.max("s").alias("stat_max"), *[F.coalesce(F.sum(f"b{i}"), F.lit(0)).alias(f"b{i}") for i in range(len(spec.budgets))])
-        zones = zones.select(F.col("segment").alias("segment_id"), (start_minute * MINUTE_US).alias("interval_start"), cycle.cast("int").alias("cycle"), seq.cast("int").alias("seq"), "batch", "row_count", "ts_min", "ts_max", "stat_min", "stat_max", F.lit(self.epoch).cast("bigint").alias("epoch"), F.lit(spec.sha256).alias("schema_sha256"), *[f"b{i}" for i in range(len(spec.budgets))])
-        folder = f"{self.path}/_batches/commit={version:012d}"
-        zones.write.mode("overwrite").parquet(folder)
-
-        newest = self.spark.read.parquet(folder).orderBy(F.desc("interval_start"), F.desc("seq"), F.desc("batch")).first()
+        file = F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1)
+        zones = written.select("segment", "batch", file.alias("file"), self._time().alias("t"), stat.alias("s"), *[F.octet_length(f"`{c}`").alias(f"b{i}") for i, c in enumerate(spec.budgets)])
+        zones = zones.groupBy("segment", "batch", "file").agg(F.count(F.lit(1)).alias("row_count"), F.min("t").alias("ts_min"), F.max("t").alias("ts_max"), F.min("s").alias("stat_min"), F.max("s").alias("stat_max"), *[F.coalesce(F.sum(f"b{i}"), F.lit(0)).alias(f"b{i}") for i in range(len(spec.budgets))])
+        zones = zones.select(F.col("segment").alias("segment_id"), (start_minute * MINUTE_US).alias("interval_start"), cycle.cast("int").alias("cycle"), seq.cast("int").alias("seq"), "batch", "file", "row_count", "ts_min", "ts_max", "stat_min", "stat_max", F.lit(self.epoch).cast("bigint").alias("epoch"), F.lit(spec.sha256).alias("schema_sha256"), *[f"b{i}" for i in range(len(spec.budgets))])
+        folder = f"{self.path}/_batches/{attempt}"
+        zones.write.parquet(folder)
+
+        by_batch = self.spark.read.parquet(folder).groupBy("interval_start", "seq", "batch").agg(F.sum("row_count").alias("row_count"), *[F.sum(f"b{i}").alias(f"b{i}") for i in range(len(spec.budgets))])
+        newest = by_batch.orderBy(F.desc("interval_start"), F.desc("seq"), F.desc("batch")).first()
         if self.max_segments is not None and newest["seq"] >= self.max_segments:
             raise SegmentFull(f"segment {newest['seq']} would exceed {self.max_segments}")
-        seals = [[_packed(tail, self.cycle), tail.batch]] if tail.open and (tail.interval, tail.seq, tail.batch) != (newest["interval_start"], newest["seq"], newest["batch"]) else []
         ahead = tail.open and (tail.interval, tail.seq, tail.batch) == (newest["interval_start"], newest["seq"], newest["batch"])
+        # A batch that was opened and gets no row stays in the catalog.
+        marks = [[_packed(tail, self.cycle), tail.batch, seen.tail_epoch, False]] if tail.open and not tail.rows and not ahead else []
         if tail.open and tail.interval > newest["interval_start"]:
-            following, seals = tail, []  # late rows only: the open batch stays open, theirs are sealed
+            following, marks = tail, []  # late rows only: the open batch stays open, theirs are sealed
         else:
             used = [newest[f"b{i}"] + (tail.used[i] if ahead and tail.used else 0) for i in range(len(spec.budgets))]
             following = Tail(newest["interval_start"], newest["seq"], newest["batch"], newest["row_count"] + (tail.rows if ahead else 0), used, False)
-        return self._commit(version, kind="append", files=True, seals=seals, source=list(source) if source else None, tail=vars(following))
-
-    def seal(self, rotate: bool = False) -> int | None:
-        """Seal the open batch if it holds rows; with ``rotate`` the next row opens a new segment."""
-        tail = self.tail()
-        if not tail.open:
-            return None
-        seals = [[_packed(tail, self.cycle), tail.batch]] if tail.rows else []
-        if rotate or tail.batch + 1 >= self.max_batches:
-            following = Tail(tail.interval, tail.seq, tail.batch, 0, [], True)
-        else:
-            following = Tail(tail.interval, tail.seq, tail.batch + 1, 0, [0] * len(self.spec.budgets), False)
-        return self._commit(kind="seal", seals=seals, tail=vars(following))
+        return self._commit(seen, kind="append", attempt=attempt, marks=marks, source=list(source) if source else None, tail=asdict(following))
+
+    def seal(self, rotate: bool = False, now_us: int | None = None) -> int | None:
+        """Seal the open batch, rows or not, and open the next one at once; with ``rotate`` the next row opens a new
+        segment, and an open batch without rows stays in progress. A table without any batch opens one at ``now_us``."""
+        with self._writing:
+            seen = self.state()
+            tail, marks = seen.position, []
+            if not tail.open:
+                if rotate or now_us is None:
+                    return None
+                self.open_writer(now_us)
+                seen = self.state()
+                tail = seen.position
+            if not tail.rows:
+                marks = [[_packed(tail, self.cycle), tail.batch, seen.tail_epoch, rotate]]
+            if rotate or tail.batch + 1 >= self.max_batches:
+                following = Tail(tail.interval, tail.seq, tail.batch, 0, [], True)
+            else:
+                following = Tail(tail.interval, tail.seq, tail.batch + 1, 0, [0] * len(self.spec.budgets), False)
+            return self._commit(seen, kind="seal", marks=marks, tail=asdict(following))
 
     def rotate(self) -> int | None:
         return self.seal(rotate=True)
@@ -250,52 +279,65 @@ class TableStore:
         return self.seal(rotate=True)
 
     def heartbeat(self, now_us: int | None = None) -> int:
-        """Count one sign of life; an open batch of a past interval is sealed although no row arrives."""
+        """Count one sign of life; an open batch of a past interval is sealed although no row arrives.
+
+        While rows are being appended there is nothing to seal: their commit does it.
+        """
         now = int(time.time() * 1e6) if now_us is None else now_us
-        tail = self.tail()
-        if self.rotation_time == "processing" and tail.open and now >= self.cycle.end(tail.interval):
-            self.seal(rotate=True)
-        beats = json.loads(self.files.read("_heartbeat.json") or "{}").get("beats", 0) + 1
-        self.files.publish("_heartbeat.json", json.dumps({"beats": beats, "at_us": now, "epoch": self.epoch}), replace=True)
+        if self.rotation_time == "processing" and self._writing.acquire(blocking=False):
+            try:
+                tail = self.tail()
+                if tail.open and now >= self.cycle.end(tail.interval):
+                    self.seal(rotate=True)
+            finally:
+                self._writing.release()
+        with self._beating:
+            beats = json.loads(self.files.read("_heartbeat.json") or "{}").get("beats", 0) + 1
+            self.files.publish("_heartbeat.json", json.dumps({"beats": beats, "at_us": now, "epoch": self.epoch}), replace=True)
         return beats
 
     # -- reading ----------------------------------------------------------------------------------------------------
 
-    def _read(self, folders: list[str]) -> DataFrame:
-        schema = T.StructType(list(self.spec.spark_schema.fields) + [T.StructField("batch", T.LongType()), T.StructField("row_pos", T.LongType()), T.StructField("segment", T.LongType())])
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).option("basePath", f).parquet(f) for f in folders]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    def snapshot_or_empty(self, commits: list[dict]) -> DataFrame:
-        folders = [f"{self.path}/_batches/commit={c['version']:012d}" for c in commits if c.get("files")]
-        if not folders:
-            return self.spark.createDataFrame([], T.StructType.fromDDL(_BATCH_ROW))
-        return self.spark.read.schema(T.StructType.fromDDL(_BATCH_ROW)).parquet(*folders)
+    def _data_schema(self) -> T.StructType:
+        return T.StructType(list(self.spec.spark_schema.fields) + [T.StructField("batch", T.LongType()), T.StructField("row_pos", T.LongType()), T.StructField("segment", T.LongType())])
+
+    def partials(self, state: State) -> DataFrame:
+        """Catalog rows by batch and file."""
+        folders = [f"{self.path}/{state.catalog}"] * bool(state.catalog) + [f"{self.path}/_batches/{a}" for a in state.attempts]
+        schema = T.StructType.fromDDL(_BATCH_ROW)
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _partials_with_marks(self, state: State) -> DataFrame:
+        """The same with rows for batches that hold none, and ``open`` on those in progress."""
+        tail, marks = state.position, list(state.marks)
+        if tail.open:
+            marks.append([_packed(tail, self.cycle), tail.batch, state.tail_epoch, True])
+        rows = []
+        for segment, batch, epoch, is_open in marks:
+            name = SegmentName.from_id(segment)
+            rows.append((segment, name.start_minute * MINUTE_US, name.cycle, name.seq, batch, None, 0, None, None, None, None, epoch, None, is_open))
+        parts = self.partials(state).withColumn("open", F.lit(False))
+        return parts.unionAll(self.spark.createDataFrame(rows, _BATCH_ROW + ", open boolean")) if rows else parts
 
     def snapshot(self, version: int | None = None) -> Snapshot:
-        """A frozen view: what is committed later is never seen through it."""
-        last = max(self.versions(), default=0)
-        return Snapshot(self, last if version is None else min(version, last))
+        """A frozen view: what is committed later is never seen through it. A folder without a table has no rows to
+        show, and no schema either: it is a FormatError; a table without commits is empty."""
+        return Snapshot(self, self.state(version))
 
     # -- detaching and retention ------------------------------------------------------------------------------------
 
-    def detach(self, watermark: int) -> None:
-        """Hide all segments with id <= watermark from this table's readers."""
-        if watermark < 0:
-            raise ValueError("a watermark is not negative")
-        self.files.publish(DETACH_FILE, f"{DETACH_MAGIC}\n{watermark}\n", replace=True)
+    def detach(self, watermark: int) -> int:
+        """Hide all segments with id <= watermark from the readers of versions from now on."""
+        if known_watermark(watermark) is None:
+            raise ValueError("a watermark is a segment id")
+        return self._commit(kind="detach", watermark=watermark)
 
     def detach_watermark(self) -> int | None:
-        text = self.files.read(DETACH_FILE)
-        return None if text is None else parse_watermark(text)
+        return self.state().watermark
 
-    def reattach(self) -> None:
-        self.files.delete(DETACH_FILE)
+    def reattach(self) -> int | None:
+        """Show all segments again; without a watermark nothing is committed."""
+        return None if self.detach_watermark() is None else self._commit(kind="detach", watermark=None)
 
     def retain(self, newest: int) -> list[int]:
         """Tombstone all but the newest ``newest`` segments, the open one included; returns their ids.
@@ -314,39 +356,38 @@ class TableStore:
 
     def vacuum(self, grace_seconds: float = 3600) -> int:
         """Delete the files of segments that were tombstoned longer ago than the grace period."""
-        old = [s for c in self._commits() if c.get("tombstones") and time.time() - c["at"] >= grace_seconds for s in c["tombstones"]]
+        state = self.state()
+        old = [int(s) for s, at in state.tombstones.items() if time.time() - at >= grace_seconds]
+        if not old:
+            return 0
+        dead = self.spark.createDataFrame([(s,) for s in old], "segment_id bigint")
+        folders = self.partials(state).join(dead, "segment_id", "left_semi").select(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).distinct()
         removed = 0
-        for c in self._commits():
-            for s in old if c.get("files") else []:
-                name = f"data/commit={c['version']:012d}/segment={s}"
-                if self.files.exists(name):
-                    self.files.delete(name)
-                    removed += 1
+        for (folder,) in folders.toLocalIterator():
+            if self.files.exists(f"data/{folder}"):
+                self.files.delete(f"data/{folder}")
+                removed += 1
         return removed
 
 
 class Snapshot:
     """A table at one version."""
 
-    def __init__(self, store: TableStore, version: int):
-        self.store, self.version, self.spark = store, version, store.spark
-        self.commits = store._commits(version)
-        self.watermark = store.detach_watermark()
+    def __init__(self, store: TableStore, state: State):
+        self.store, self.state, self.version, self.spark = store, state, state.version, store.spark
+        self.watermark = state.watermark
 
     def batches(self) -> DataFrame:
         """The catalog: one row per visible batch in the order of segments, with its bounds and whether it is sealed."""
-        parts = self.store.snapshot_or_empty(self.commits)
-        tail = next((Tail(**c["tail"]) for c in reversed(self.commits) if "tail" in c), Tail())
-        rows = parts.groupBy("segment_id", "interval_start", "cycle", "seq", "batch").agg(F.sum("row_count").alias("row_count"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.min("stat_min").alias("stat_min"), F.max("stat_max").alias("stat_max"), F.max("epoch").alias("epoch"), F.max("schema_sha256").alias("schema_sha256"))
-        is_tail = (F.col("segment_id") == _packed(tail, self.store.cycle)) & (F.col("batch") == tail.batch) if tail.open else F.lit(False)
-        rows = rows.withColumn("sealed", ~is_tail)
-        gone = sorted({s for c in self.commits for s in c.get("tombstones") or []})
+        parts = self._visible(self.store._partials_with_marks(self.state))
+        rows = parts.groupBy("segment_id", "interval_start", "cycle", "seq", "batch").agg(F.sum("row_count").alias("row_count"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"), F.min("stat_min").alias("stat_min"), F.max("stat_max").alias("stat_max"), F.max("epoch").alias("epoch"), F.max("schema_sha256").alias("schema_sha256"), F.bool_or("open").alias("open"))
+        return rows.withColumn("sealed", ~F.col("open")).drop("open")
+
+    def _visible(self, rows: DataFrame) -> DataFrame:
+        gone = [(int(s),) for s in self.state.tombstones]
         if gone:
-            dead = self.spark.createDataFrame([(s,) for s in gone], "segment_id bigint")
-            rows = rows.join(dead, "segment_id", "left_anti")
-        if self.watermark is not None:
-            rows = rows.where(~F.coalesce(F.col("segment_id") <= self.watermark, F.lit(False)))
-        return rows
+            rows = rows.join(self.spark.createDataFrame(gone, "segment_id bigint"), "segment_id", "left_anti")
+        return rows if self.watermark is None else rows.where(~F.coalesce(F.col("segment_id") <= self.watermark, F.lit(False)))
 
     def segments(self) -> DataFrame:
         """One row per visible segment: name, rows, coverage, epoch."""
@@ -356,7 +397,7 @@ class Snapshot:
     def guard(self) -> None:
         """FormatError unless all visible segments have this table's schema and no batch exceeds its capacity."""
         found = self.batches().groupBy("schema_sha256").agg(F.max("row_count")).limit(3).collect()
-        if {r[0] for r in found} - {self.store.spec.sha256}:
+        if {r[0] for r in found} - {self.store.spec.sha256, None}:
             raise FormatError("segments of several schemas cannot be scanned together")
         if any(r[1] > self.store.spec.batch_rows for r in found):
             raise FormatError("the catalog has a batch of more rows than its capacity")
@@ -365,21 +406,36 @@ class Snapshot:
         """Batches that may hold rows within closed ranges (time in the column's own unit); open ones always stay."""
         return self.batches().where(survives(time_range, stat_range))
 
+    def files(self, time_range: tuple[int, int] | None = None, stat_range: tuple[int, int] | None = None) -> DataFrame:
+        """Files that hold surviving batches, with their segment and the first and last of these batches."""
+        kept = self.prune(time_range, stat_range).select("segment_id", "batch")
+        parts = self._visible(self.store.partials(self.state))
+        return parts.join(kept, ["segment_id", "batch"], "left_semi").groupBy("file", "segment_id").agg(F.min("batch").alias("first"), F.max("batch").alias("last"))
+
     def scan(self, time_range: tuple[int, int] | None = None, stat_range: tuple[int, int] | None = None) -> DataFrame:
-        """Rows of the surviving segments, filtered by the ranges, with segment, batch and row_pos.
+        """Rows of the surviving batches, filtered by the ranges, with segment, batch and row_pos.
 
-        Segments are pruned by the catalog to a list of folders; inside them the filter is pushed into Parquet, whose
-        row groups are pruned in turn. The filter always applies to rows as well.
+        The catalog names the files to read. Ranges of surviving batches are pushed into Parquet beside the row filter
+        and skip pages by the column index, as pages are no longer than batches. The filter always applies to rows.
         """
         self.guard()
-        alive = {r[0] for r in self.prune(time_range, stat_range).select("segment_id").distinct().toLocalIterator()}
-        folders = [f"{self.store.path}/data/commit={c['version']:012d}/{n}" for c in self.commits if c.get("files") for n in self.store.files.names(f"data/commit={c['version']:012d}") if n.startswith("segment=") and int(n[8:]) in alive]
-        schema = T.StructType(list(self.store.spec.spark_schema.fields) + [T.StructField("batch", T.LongType()), T.StructField("row_pos", T.LongType()), T.StructField("segment", T.LongType())])
-        if lost := alive - {int(f.rpartition("=")[2]) for f in folders}:
-            raise FormatError(f"files of segments are missing: {sorted(lost)[:5]}")
-        if not folders:
-            return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.store.path}/data").parquet(*folders).drop("commit")
+        files = [tuple(r) for r in self.files(time_range, stat_range).toLocalIterator()]
+        if not files:
+            return self.spark.createDataFrame([], self.store._data_schema())
+        try:
+            rows = self.spark.read.schema(self.store._data_schema()).option("basePath", f"{self.store.path}/data").parquet(*[f"{self.store.path}/data/{f[0]}" for f in files]).drop("commit")
+        except AnalysisException as e:
+            raise FormatError(f"files of segments are missing: {str(e)[:300]}") from None
+        if (time_range or stat_range) is not None:
+            reach: dict[int, tuple[int, int]] = {}
+            for _, s, first, last in files:
+                low, high = reach.get(s, (first, last))
+                reach[s] = (min(low, first), max(high, last))
+            if len(reach) <= RANGES:
+                near = F.lit(False)
+                for s, (first, last) in reach.items():
+                    near |= (F.col("segment") == s) & F.col("batch").between(first, last)
+                rows = rows.where(near)
         if time_range is not None:
             column, kind = f"`{self.store.spec.time_column}`", self.store.spec.spark_schema[self.store.spec.time_column].dataType
             ends = [F.lit(v) if isinstance(kind, T.LongType) else F.timestamp_micros(F.lit(v)).cast(kind) for v in time_range]
@@ -396,17 +452,9 @@ class Snapshot:
         return null_counts(self.scan(), ["segment", "batch"], [c.name for c in self.store.spec.columns])
 
     def latest_epoch(self) -> int | None:
-        return self.batches().agg(F.max("epoch")).first()[0]
+        """The epoch of the last segment in the order of names, whenever it was written."""
+        return self.segments().agg(F.max_by("epoch", "segment_id")).first()[0]
 
 
 def _packed(tail: Tail, cycle: RollCycle) -> int:
     return SegmentName(tail.interval // MINUTE_US, cycle.minutes, tail.seq).id
-
-
-def parse_watermark(text: str) -> int:
-    """The watermark of a detach file, whose form is exact: a wrong file must never read as no watermark."""
-    lines = text.split("\n")
-    digits = lines[1] if len(lines) == 3 else ""
-    if len(lines) != 3 or lines[0] != DETACH_MAGIC or lines[2] or not (digits.isascii() and digits.isdigit()) or (len(digits) > 1 and digits[0] == "0") or int(digits) >= 1 << 63:
-        raise FormatError("malformed detach watermark")
-    return int(digits)

@@ -177,21 +177,36 @@ def test_one_stream_into_two_tables(spark, tmp_path):
 
 
 def test_sql_route_pushes_filters(spark, tmp_path):
-    from batchloom.sources.datasource import SegmentReader, SegmentSource
+    from batchloom.sources.datasource import PruningReader, register
 
-    store = TableStore.create(spark, f"file://{tmp_path}/t", quotes_spec(64))
+    store = TableStore.create(spark, f"file://{tmp_path}/t", quotes_spec(64), max_batches=1)
     quotes, _ = market(spark, 300, symbols=3, step_us=40_000_000_000)
-    store.append(quotes, ["quote_id"], budgets=False)
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(SegmentSource)
+    store.append(quotes, ["quote_id"])
+    register(spark)
     df = spark.read.format("batchloom").option("path", f"file://{tmp_path}/t").load()
     assert df.count() == 300 and sorted(df.columns) == sorted(c.name for c in quotes_spec().columns)
     px = quotes.agg(F.expr("percentile_disc(0.1) WITHIN GROUP (ORDER BY bid_px)")).first()[0]
     assert df.where(F.col("bid_px") <= px).count() == quotes.where(F.col("bid_px") <= px).count()
-    reader = SegmentReader(str(tmp_path / "t"), store.spec, store.spec.spark_schema)
+    middle = quotes.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY unix_micros(ts))").cast("bigint")).first()[0]
+    early = F.unix_micros("ts") <= middle
+    assert df.where(F.col("ts") <= F.timestamp_micros(F.lit(middle))).count() == quotes.where(early).count()
+    reader = PruningReader(str(tmp_path / "t"), store.spec, store.spec.spark_schema)
     everything = len(reader.partitions())
     reader.bounds = {"bid_px": [None, -1]}
     assert everything > 1 and reader.partitions() == []
+    reader.bounds = {"ts": [None, middle]}
+    assert 0 < len(reader.partitions()) < everything
+    # Detached and tombstoned segments are as invisible here as in snapshots.
+    ids = [r.segment_id for r in store.snapshot().segments().orderBy("segment_id").collect()]
+    store.detach(ids[len(ids) // 2])
+    again = spark.read.format("batchloom").option("path", f"file://{tmp_path}/t").load()
+    assert 0 < again.count() == store.snapshot().count() < 300
+    store.reattach()
+    store.retain(2)
+    assert spark.read.format("batchloom").option("path", f"file://{tmp_path}/t").load().count() == store.snapshot().count() < 300
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+    plain = spark.read.format("batchloom").option("path", f"file://{tmp_path}/t").option("pushdown", "false").load()
+    assert plain.where("bid_px > 0").count() == store.snapshot().count()
 
 
 def test_windows(spark):

@@ -115,9 +115,11 @@ def test_ids(text, packed):
 
 
 @pytest.mark.parametrize("text", ["", "x", "20260132.0.seg", "20261301.0.seg", "20260100.0.seg", "20260230.0.seg", "20260101.2400.60m.0.seg", "20260101.0060.60m.0.seg", "20260101.0.seg.tmp.1", "20260101.0000.0.seg"])
-def test_bad_names(text):
+def test_bad_names(spark, text):
     with pytest.raises(FormatError):
         SegmentName.parse(text)
+    row = spark.createDataFrame([(text,)], "name string").select(*name_parts(F.col("name"))).first()
+    assert tuple(row) == (None, None, None)
 
 
 @pytest.mark.parametrize("text", ["19691231.0.seg", "20260101.0000.0m.0.seg", "20260101.0000.65536m.0.seg", "20260101.32768.seg"])
