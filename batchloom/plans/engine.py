@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions import values as V
@@ -17,10 +18,12 @@ from ..functions.names import id_column, id_parts, name_column, name_parts
 from ..functions.timeexpr import micros
 from ..operators.asof import asof_join, bars, resolve_codes
 from ..operators.batching import by_byte_budget, by_row_count, positions
-from ..operators.zonemap import null_counts, survives, with_sealed, zone_map
-from ..sources.spec import quotes_spec
+from ..operators.zonemap import null_counts, with_sealed, zone_map
+from ..sources.render import cell
+from ..sources.spec import TableSpec, column, quotes_spec, schema
 from ..sources.store import TableStore
 from ..staging import scratch
+from ..streaming.windows import sessions, windowed
 from ..tables import table
 
 ROWS, BATCHES, BUDGET = 256, 8, 2048
@@ -53,6 +56,33 @@ def _zones(spark: SparkSession, base: str) -> DataFrame:
     return with_sealed(z, ["batch"])
 
 
+def _arrivals(spark: SparkSession, base: str) -> DataFrame:
+    e = table(spark, base, "events")
+    return e.select(F.timestamp_micros(micros("ts", e.schema["ts"].dataType)).alias("ts"), "event_id", "user_id", "event_type", "props")
+
+
+def feed_spec(batch_rows: int = ROWS) -> TableSpec:
+    ts = pa.timestamp("us", "UTC")
+    columns = [column("ts", ts, sort_key=0), column("event_id", pa.int64()), column("user_id", pa.int64()), column("event_type", pa.string(), varlen_bytes=batch_rows * 64), column("props", pa.string(), varlen_bytes=batch_rows * 64)]
+    return TableSpec.load(schema(columns, table="feed", schema_version=1, batch_rows=batch_rows, time_column="ts", stats_column="user_id"))
+
+
+_feeds: dict[tuple, TableStore] = {}
+
+
+def _feed(spark: SparkSession, base: str, rotated: bool = False) -> TableStore:
+    """The whole feed in a store, written once per session: in one segment (all rows arrive in one interval) or, by event
+    time, in intervals of four hours. Queries read its first version and never depend on what others committed later."""
+    key = (spark.sparkContext.applicationId, base, rotated)
+    if key not in _feeds:
+        e = _arrivals(spark, base)
+        options = {"cycle": "4h", "max_batches": BATCHES} if rotated else {"max_batches": 1 << 40, "rotation_time": "processing"}
+        store = TableStore.create(spark, scratch(spark, "feed"), feed_spec(), **options)
+        store.append(e, ["event_id"], now_us=0)
+        _feeds[key] = store
+    return _feeds[key]
+
+
 def _segments(spark: SparkSession, base: str) -> DataFrame:
     """The segments that the feed makes: start minute, cycle, sequence, rows."""
     r = _rotated(spark, base).groupBy("interval_start", "segment_seq").agg(F.count(F.lit(1)).alias("row_count"))
@@ -106,13 +136,17 @@ def f8_row_by_position(spark, base):
 STAT_RANGE = (100, 140)
 
 
-def _pruned(spark, base, by_time: bool, by_stat: bool):
-    """Batches that survive the closed range from the 20th to the 25th per cent of the feed's time span, and STAT_RANGE."""
+def _ranges(spark, base, by_time: bool, by_stat: bool) -> tuple:
+    """The closed range from the 20th to the 25th per cent of the feed's time span, and STAT_RANGE."""
     span = None
     if by_time:
         lo, hi = _events(spark, base).agg(F.min("ts"), F.max("ts")).first()
         span = (lo + (hi - lo) * 20 // 100, lo + (hi - lo) * 25 // 100)
-    return _zones(spark, base).where(survives(span, STAT_RANGE if by_stat else None)).select("batch", "sealed")
+    return span, STAT_RANGE if by_stat else None
+
+
+def _pruned(spark, base, by_time: bool, by_stat: bool):
+    return _feed(spark, base).snapshot(1).prune(*_ranges(spark, base, by_time, by_stat)).select("batch", "sealed")
 
 
 def prune_time(spark, base):
@@ -133,9 +167,55 @@ def prune_none(spark, base):
 
 def prune_detached(spark, base):
     """Segments above the detach watermark, here the id of the third interval's first segment."""
-    s = _segments(spark, base).withColumn("id", id_column(F.col("start_minute"), F.col("cycle"), F.col("segment_seq")))
-    third = s.where("segment_seq = 0").select("id").orderBy("id").offset(2).limit(1).select(F.max("id")).scalar()
-    return s.where(~F.coalesce(F.col("id") <= third, F.lit(False))).select("id", "row_count")
+    store = _feed(spark, base, True)
+    third = store.snapshot(1).segments().where("seq = 0").orderBy("segment_id").offset(2).first()["segment_id"]
+    return store.snapshot(store.detach(third)).segments().select(F.col("segment_id").alias("id"), "row_count")
+
+
+def sql_route_detached(spark, base):
+    """Rows per segment that plain SQL sees of a table whose first days are detached."""
+    from ..sources.datasource import register
+
+    register(spark)
+    store = TableStore.create(spark, scratch(spark, "route"), feed_spec(), cycle="1d")
+    store.append(_arrivals(spark, base), ["event_id"])
+    store.detach(store.snapshot().segments().orderBy("segment_id").offset(2).first()["segment_id"])
+    spark.read.format("batchloom").option("path", store.path).load().createOrReplaceTempView("batchloom_feed")
+    return spark.sql("SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM batchloom_feed WHERE user_id >= 100 GROUP BY event_type")
+
+
+def scan_both(spark, base):
+    """Rows of a scan by both ranges: batches are pruned, rows filtered."""
+    return _feed(spark, base).snapshot(1).scan(*_ranges(spark, base, True, True)).select("event_id", "user_id", "batch", "row_pos")
+
+
+def b3_versions(spark, base):
+    """Rows that each of three versions of a growing table shows (batch by batch a prefix of the next)."""
+    e = _arrivals(spark, base)
+    store = TableStore.create(spark, scratch(spark, "versions"), feed_spec(), rotation_time="processing", max_batches=1 << 40)
+    for part in ("event_id % 3 = 0", "event_id % 3 = 1", "event_id % 3 = 2"):
+        store.append(e.where(part), ["event_id"], now_us=0)
+    views = [store.snapshot(v).batches().agg(F.lit(v).alias("version"), F.sum("row_count").alias("n"), F.count_if("sealed").alias("sealed"), F.max("ts_max").alias("ts_max")) for v in (1, 2, 3)]
+    return views[0].unionAll(views[1]).unionAll(views[2])
+
+
+def c13_empty_batches(spark, base):
+    """A batch sealed without rows, one with all rows of the feed's first user, and the empty one that sealing opens."""
+    e = _arrivals(spark, base)
+    store = TableStore.create(spark, scratch(spark, "empty"), feed_spec(1 << 20), rotation_time="processing")
+    store.seal(now_us=0)
+    store.append(e, ["event_id"], now_us=0)
+    store.seal()
+    return store.snapshot().batches().select("batch", "row_count", "sealed", "ts_min")
+
+
+def c9_varlen_store(spark, base):
+    """Batches of a store whose byte budget, not its row count, closes them."""
+    columns = [column("ts", pa.timestamp("us", "UTC")), column("event_id", pa.int64()), column("props", pa.string(), varlen_bytes=BUDGET)]
+    spec = TableSpec.load(schema(columns, table="feed", schema_version=1, batch_rows=ROWS, time_column="ts", stats_column="event_id"))
+    store = TableStore.create(spark, scratch(spark, "budget"), spec, rotation_time="processing", max_batches=1 << 40)
+    store.append(_arrivals(spark, base), ["event_id"], now_us=0)
+    return store.snapshot().batches().select("batch", "row_count", F.col("stat_min").cast("bigint").alias("first_id"))
 
 
 def _quote_store(spark: SparkSession, base: str) -> TableStore:
@@ -181,10 +261,9 @@ def r8_parse_name(spark, base):
 
 
 def r9_listing_order(spark, base):
-    # A table of segments, not of rows: small enough to number in one task.
-    s = _segments(spark, base)
-    order = Window.orderBy("start_minute", "cycle", "segment_seq")
-    return s.select(F.row_number().over(order).cast("bigint").alias("place"), "start_minute", "segment_seq")
+    s = _feed(spark, base, True).snapshot(1).segments()
+    s = positions(s.select("interval_start", "cycle", "seq"), ["interval_start", "cycle", "seq"])
+    return s.select((F.col("pos") + 1).alias("place"), F.floor(F.col("interval_start") / MINUTE_US).alias("start_minute"), F.col("seq").cast("bigint").alias("segment_seq"))
 
 
 def r10_next_seq(spark, base):
@@ -192,9 +271,14 @@ def r10_next_seq(spark, base):
 
 
 def r11_latest_epoch(spark, base):
-    """An epoch a day: that of the newest segment is the latest."""
-    s = _segments(spark, base).withColumn("epoch", F.floor(F.col("start_minute") / 1440))
-    return s.agg(F.max_by("epoch", F.struct("start_minute", "cycle", "segment_seq")).alias("named_epoch"), F.max("epoch").alias("epoch"))
+    """Three writers, the last of which brings late rows: the latest epoch is that of the last segment by name."""
+    e = _arrivals(spark, base)
+    store = TableStore.create(spark, scratch(spark, "epochs"), feed_spec(), cycle="1d")
+    day = F.floor(F.unix_micros("ts") / 86_400_000_000)
+    for part in (day % 3 == 0, day % 3 == 2, day % 3 == 1):
+        store.open_writer()
+        store.append(e.where(part), ["event_id"])
+    return store.snapshot().segments().agg(F.max("epoch").alias("largest")).withColumn("latest", F.lit(store.snapshot().latest_epoch()).cast("bigint"))
 
 
 def r12_interval_end(spark, base):
@@ -203,8 +287,15 @@ def r12_interval_end(spark, base):
 
 
 def r16_retention(spark, base):
-    s = _segments(spark, base).select("start_minute", "segment_seq", "row_count")
-    return s.orderBy(F.desc("start_minute"), F.desc("segment_seq")).limit(5)  # the newest five are the feature
+    """What is left of the feed's segments when the newest five are retained."""
+    e = _arrivals(spark, base)
+    store = TableStore.create(spark, scratch(spark, "retained"), feed_spec(), cycle="4h", max_batches=BATCHES)
+    store.append(e, ["event_id"])
+    store.retain(5)
+    store.vacuum(0)
+    rows = store.snapshot().scan().groupBy("segment").agg(F.count(F.lit(1)).alias("row_count"))
+    start, _, seq = id_parts(F.col("segment"))
+    return rows.select(start.alias("start_minute"), seq.alias("segment_seq"), "row_count")
 
 
 def r19_civil_days(spark, base):
@@ -215,14 +306,12 @@ def r19_civil_days(spark, base):
 
 
 def g4_in_progress_rows(spark, base):
-    z = _zones(spark, base)
+    z = _feed(spark, base).snapshot(1).batches()
     return z.where("NOT sealed").agg(F.max_by("row_count", "batch").alias("open_rows"), F.count(F.lit(1)).alias("open_batches"))
 
 
 def g5_g6_coverage(spark, base):
-    r = _rotated(spark, base)
-    z = zone_map(r, ["interval_start", "segment_seq", "batch"], "ts", "user_id")
-    s = z.groupBy("interval_start", "segment_seq").agg(F.sum("row_count").alias("row_count"), F.min("ts_min").alias("ts_min"), F.max("ts_max").alias("ts_max"))
+    s = _feed(spark, base, True).snapshot(1).segments().select("interval_start", F.col("seq").cast("bigint").alias("segment_seq"), "row_count", "ts_min", "ts_max")
     inside = (F.col("ts_min") >= F.col("interval_start")) & (F.col("ts_max") < F.col("interval_start") + CYCLE.micros)
     return s.withColumn("inside", inside)
 
@@ -234,9 +323,16 @@ def b5_null_counts(spark, base):
 
 def b15_cells(spark, base):
     """Exchange form of the types whose text does not depend on a language's float printing."""
-    t = table(spark, base, "all_types")
-    c = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).alias(name)
-    return t.select(F.coalesce(micros("ts", t.schema["ts"].dataType).cast("string"), F.lit("")).alias("ts"), c("flag"), c("i8"), c("u16"), c("i32"), c("i64"), c("dec38"), F.coalesce(F.unix_date("d32").cast("string"), F.lit("")).alias("d32"), c("t64"), F.coalesce(V.hex_lower(F.col("fsb")), F.lit("")).alias("fsb"), F.coalesce(V.quoted(F.col("sym")), F.lit("")).alias("sym"), F.coalesce(V.hex_lower(F.col("bin")), F.lit("")).alias("bin"))
+    kinds = {"ts": pa.timestamp("us", "UTC"), "flag": pa.bool_(), "i8": pa.int8(), "u16": pa.uint16(), "i32": pa.int32(), "i64": pa.int64(), "dec38": pa.decimal128(38, 9), "d32": pa.date32(), "t64": pa.time64("ns"), "fsb": pa.binary(16), "sym": pa.string(), "bin": pa.binary()}
+    return table(spark, base, "all_types").select(*[cell(name, kind).alias(name) for name, kind in kinds.items()])
+
+
+def b15_floats(spark, base):
+    """Exchange form of floats, read back: the shortest text that gives the same number."""
+    t = table(spark, base, "all_types").where("f64 IS NOT NULL AND f32 IS NOT NULL")
+    shown = t.select("f64", "f32", cell("f64", pa.float64()).alias("text64"), cell("f32", pa.float32()).alias("text32"))
+    same = lambda a, b: a.eqNullSafe(b)
+    return shown.agg(F.count(F.lit(1)).alias("n"), F.count_if(same(F.col("text64").cast("double"), F.col("f64"))).alias("same64"), F.count_if(same(F.col("text32").cast("float"), F.col("f32"))).alias("same32"))
 
 
 def x1_x2_length_bits(spark, base):
@@ -283,29 +379,49 @@ def s3_snapshot_freeze(spark, base):
     store = TableStore.create(spark, scratch(spark, "live"), quotes_spec(1024), cycle="1d")
     store.append(q.where("sym < 'N'"), ["ts", "sym", "bid_px"])
     frozen = store.snapshot()
-    store.append(q.where("sym >= 'N'"), ["ts", "sym", "bid_px"])
+    store.append(q.where("sym >= 'N' OR sym IS NULL"), ["ts", "sym", "bid_px"])
     one = lambda which, snap: snap.batches().agg(F.lit(which).alias("view"), F.sum("row_count").alias("n"))
     return one("frozen", frozen).unionAll(one("now", store.snapshot()))
 
 
 def s7_liveness(spark, base):
-    """Gaps between a symbol's quotes within a day; 60 seconds and more are a stall."""
+    """Gaps between a symbol's quotes within a day; 60 seconds and more are a stall (of a writer: ``s7_states``)."""
     q = table(spark, base, "quotes").where("sym IS NOT NULL").select("sym", "quote_id", micros("ts").alias("t"))
     gap = F.col("t") - F.lag("t").over(Window.partitionBy("sym", F.floor(F.col("t") / 86_400_000_000)).orderBy("t", "quote_id"))
     g = q.select("sym", gap.alias("gap"))
     return g.groupBy("sym").agg(F.count_if(F.col("gap") >= 60_000_000).alias("stalls"), F.max("gap").alias("longest"))
 
 
+def s7_states(spark, base):
+    """States of a writer of all live quotes, by the time since its last heartbeat and what it has done since."""
+    from ..streaming.sink import status
+
+    q = table(spark, base, "live_quotes").withColumn("ask_px", F.col("px")).withColumnRenamed("px", "bid_px")
+    q = q.select("ts", "sym", "bid_px", "ask_px", F.lit(1).alias("bid_sz"), F.lit(1).alias("ask_sz"), F.lit("X").alias("venue"))
+    store = TableStore.create(spark, scratch(spark, "states"), quotes_spec(1 << 20), rotation_time="processing", max_batches=1 << 40)
+    seen = [("none", status(store, 1.0, 0))]
+    store.append(q, ["ts", "sym", "bid_px"], now_us=0)
+    store.heartbeat(1_000_000)
+    seen += [("frozen", status(store, 1.0, 1_500_000)), ("late", status(store, 1.0, 2_000_000))]
+    store.heartbeat(3_000_000)
+    seen += [("stuck", status(store, 1.0, 3_100_000, since=seen[1][1]))]
+    return spark.createDataFrame([(name, x["state"], x["open_rows"], x["beats"]) for name, x in seen], "moment string, state string, open_rows bigint, beats bigint")
+
+
 def s10_tumbling(spark, base):
     t = table(spark, base, "trades").where("ts IS NOT NULL")
-    w = F.window("ts", "4 hours")
-    return t.groupBy(w, "venue").agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("window_start"), "venue", "n")
+    return windowed(t, "ts", ["venue"], "4 hours").select(F.unix_micros("window_start").alias("window_start"), "venue", F.col("rows").alias("n"))
 
 
 def s11_sliding(spark, base):
     t = table(spark, base, "trades").where("ts IS NOT NULL")
-    w = F.window("ts", "2 hours", "1 hour")
-    return t.groupBy(w).agg(F.count(F.lit(1)).alias("n")).select(F.unix_micros("window.start").alias("window_start"), "n")
+    return windowed(t, "ts", [], "2 hours", "1 hour").select(F.unix_micros("window_start").alias("window_start"), F.col("rows").alias("n"))
+
+
+def s11_sessions(spark, base):
+    """Sessions of a symbol: trades that follow one another within ten minutes."""
+    t = table(spark, base, "trades").where("ts IS NOT NULL AND sym IS NOT NULL")
+    return sessions(t, "ts", ["sym"], "10 minutes").select("sym", F.unix_micros("session_start").alias("session_start"), F.unix_micros("session_end").alias("session_end"), F.col("rows").alias("n"))
 
 
 def s1_stream_append(spark, base):
@@ -361,8 +477,8 @@ def lineitem_zone_map(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     g8_symbol_agg, g8_live_symbols, f1_batch_rowcount, g1_g2_zone_map, f3_segment_seq, f4_interval_floor, f4_f3_rotation, f2_varlen_budget, f1_lazy_seal, f8_row_by_position,
-    prune_time, prune_stat, prune_both, prune_none, prune_detached, store_range_scan, store_catalog,
+    prune_time, prune_stat, prune_both, prune_none, prune_detached, sql_route_detached, scan_both, b3_versions, c13_empty_batches, c9_varlen_store, store_range_scan, store_catalog,
     r18_encode_id, r18_decode_id, r7_segment_name, r8_parse_name, r9_listing_order, r10_next_seq, r11_latest_epoch, r12_interval_end, r16_retention, r19_civil_days,
-    g4_in_progress_rows, g5_g6_coverage, b5_null_counts, b15_cells, x1_x2_length_bits, x3_layout_bytes, x4_sha256, x10_price, x11_decimal_halves, x12_unsigned, x13_hex, x14_overlap,
-    s3_snapshot_freeze, s7_liveness, s10_tumbling, s11_sliding, s1_stream_append, w_asof_quote_trade, w_ohlc_4h, w_vwap, w_ref_dim_join, a10_sorted_roll, lineitem_zone_map,
+    g4_in_progress_rows, g5_g6_coverage, b5_null_counts, b15_cells, b15_floats, x1_x2_length_bits, x3_layout_bytes, x4_sha256, x10_price, x11_decimal_halves, x12_unsigned, x13_hex, x14_overlap,
+    s3_snapshot_freeze, s7_liveness, s7_states, s10_tumbling, s11_sliding, s11_sessions, s1_stream_append, w_asof_quote_trade, w_ohlc_4h, w_vwap, w_ref_dim_join, a10_sorted_roll, lineitem_zone_map,
 )}

@@ -25,16 +25,7 @@ WITH q AS (SELECT *, epoch_us(ts) AS t, epoch_us(ts) // 86400000000 * 8640000000
 p AS (SELECT *, row_number() OVER (PARTITION BY interval_start ORDER BY quote_id) - 1 AS pos FROM q)
 """
 
-SQL = {
-    "g8_symbol_agg": "SELECT sym, count(*) AS n, max(ask_px) / 10000.0::DOUBLE AS max_ask FROM quotes GROUP BY sym",
-    "g8_live_symbols": "SELECT sym, count(*) AS n, min(px) AS low, max(px) AS high FROM live_quotes GROUP BY sym",
-    "f1_batch_rowcount": _FEED + "SELECT batch // 8 AS segment_seq, batch % 8 AS batch, count(*) AS row_count FROM batched GROUP BY ALL",
-    "g1_g2_zone_map": _FEED + "SELECT batch, row_count, ts_min, ts_max, stat_min, stat_max FROM zones",
-    "f3_segment_seq": _FEED + "SELECT batch // 8 AS segment_seq, count(*) AS row_count, count(DISTINCT batch) AS batches FROM batched GROUP BY ALL",
-    "f4_interval_floor": _FEED + "SELECT interval_start, interval_start + 14400000000 AS interval_end, count(*) AS n FROM cycles GROUP BY ALL",
-    "f4_f3_rotation": _FEED + "SELECT interval_start, segment_seq, batch, count(*) AS row_count FROM rotated GROUP BY ALL",
-    # The start of each batch follows from the one before: pointers from every row to the next start, then a chase.
-    "f2_varlen_budget": """
+_BUDGET = """
 WITH RECURSIVE sized AS (
   SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS pos, coalesce(strlen(props), 0) AS len, sum(coalesce(strlen(props), 0)) OVER (ORDER BY event_id) AS upto FROM events
 ), ends AS MATERIALIZED (SELECT upto, min(pos) AS pos FROM sized GROUP BY upto),
@@ -45,7 +36,21 @@ pointers AS MATERIALIZED (
   UNION ALL SELECT p.next, batch + 1 FROM starts s JOIN pointers p ON p.pos = s.pos WHERE p.next <= (SELECT max(pos) FROM sized)
 )
 , spans AS (SELECT batch, pos, lead(pos, 1, 9223372036854775807) OVER (ORDER BY pos) AS stop FROM starts)
+"""
+
+SQL = {
+    "g8_symbol_agg": "SELECT sym, count(*) AS n, max(ask_px) / 10000.0::DOUBLE AS max_ask FROM quotes GROUP BY sym",
+    "g8_live_symbols": "SELECT sym, count(*) AS n, min(px) AS low, max(px) AS high FROM live_quotes GROUP BY sym",
+    "f1_batch_rowcount": _FEED + "SELECT batch // 8 AS segment_seq, batch % 8 AS batch, count(*) AS row_count FROM batched GROUP BY ALL",
+    "g1_g2_zone_map": _FEED + "SELECT batch, row_count, ts_min, ts_max, stat_min, stat_max FROM zones",
+    "f3_segment_seq": _FEED + "SELECT batch // 8 AS segment_seq, count(*) AS row_count, count(DISTINCT batch) AS batches FROM batched GROUP BY ALL",
+    "f4_interval_floor": _FEED + "SELECT interval_start, interval_start + 14400000000 AS interval_end, count(*) AS n FROM cycles GROUP BY ALL",
+    "f4_f3_rotation": _FEED + "SELECT interval_start, segment_seq, batch, count(*) AS row_count FROM rotated GROUP BY ALL",
+    # The start of each batch follows from the one before: pointers from every row to the next start, then a chase.
+    "f2_varlen_budget": _BUDGET + """
 SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id, CAST(sum(len) AS BIGINT) AS bytes FROM sized s JOIN spans st ON s.pos >= st.pos AND s.pos < st.stop GROUP BY st.batch""",
+    "c9_varlen_store": _BUDGET + """
+SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id FROM sized s JOIN spans st ON s.pos >= st.pos AND s.pos < st.stop GROUP BY st.batch""",
     "f1_lazy_seal": _FEED + "SELECT batch, sealed, row_count > 0 AS sealed_finally FROM zones",
     "f8_row_by_position": _FEED + "SELECT batch // 8 AS segment_seq, event_id FROM batched WHERE batch % 8 = 3 AND pos % 256 = 17",
     "prune_time": _FEED + "SELECT batch, sealed FROM zones, span WHERE NOT sealed OR (ts_min <= hi AND ts_max >= lo)",
@@ -53,6 +58,13 @@ SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id, CAST(sum(len)
     "prune_both": _FEED + "SELECT batch, sealed FROM zones, span WHERE NOT sealed OR (ts_min <= hi AND ts_max >= lo AND stat_min <= 140 AND stat_max >= 100)",
     "prune_none": _FEED + "SELECT batch, sealed FROM zones",
     "prune_detached": _FEED + "SELECT id, row_count FROM ids WHERE id > (SELECT id FROM ids WHERE segment_seq = 0 ORDER BY id LIMIT 1 OFFSET 2)",
+    "sql_route_detached": _FEED + """SELECT event_type, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM feed
+  WHERE ts // 86400000000 > (SELECT d FROM (SELECT DISTINCT ts // 86400000000 AS d FROM feed) ORDER BY d LIMIT 1 OFFSET 2) AND user_id >= 100 GROUP BY event_type""",
+    "scan_both": _FEED + "SELECT event_id, user_id, batch, pos AS row_pos FROM batched, span WHERE ts BETWEEN lo AND hi AND user_id BETWEEN 100 AND 140",
+    "b3_versions": """WITH parts AS (SELECT v AS version, count(*) AS n, CAST(max(epoch_us(ts)) AS BIGINT) AS ts_max FROM events JOIN (SELECT unnest([1, 2, 3]) AS v) ON event_id % 3 < v GROUP BY v)
+SELECT version, CAST(n AS BIGINT) AS n, (n - 1) // 256 AS sealed, ts_max FROM parts""",
+    "c13_empty_batches": """SELECT CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS row_count, true AS sealed, CAST(NULL AS BIGINT) AS ts_min
+  UNION ALL SELECT 1, count(*), true, min(epoch_us(ts)) FROM events UNION ALL SELECT 2, 0, false, NULL""",
     "store_range_scan": "SELECT ts, sym, bid_px, ask_px, bid_sz, ask_sz, venue FROM quotes WHERE epoch_us(ts) >= 1452470400000000 AND epoch_us(ts) < 1452556800000000 AND bid_px BETWEEN 100000 AND 900000",
     "store_catalog": _STORE + """SELECT interval_start, CAST(pos // 131072 AS INTEGER) AS seq, pos // 8192 % 16 AS batch, count(*) AS row_count, min(t) AS ts_min, max(t) AS ts_max,
   min(bid_px) AS stat_min, max(bid_px) AS stat_max, true AS sealed FROM p GROUP BY interval_start, pos // 131072, pos // 8192 % 16""",
@@ -62,7 +74,8 @@ SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id, CAST(sum(len)
     "r8_parse_name": _FEED + "SELECT name, start_minute, CAST(cycle AS INTEGER) AS cycle, segment_seq AS seq FROM named",
     "r9_listing_order": _FEED + "SELECT row_number() OVER (ORDER BY start_minute, cycle, segment_seq) AS place, start_minute, segment_seq FROM segments",
     "r10_next_seq": _FEED + "SELECT start_minute, CAST(cycle AS INTEGER) AS cycle, max(segment_seq) + 1 AS next_seq FROM segments GROUP BY start_minute, cycle",
-    "r11_latest_epoch": _FEED + "SELECT arg_max(start_minute // 1440, (start_minute, cycle, segment_seq)) AS named_epoch, max(start_minute // 1440) AS epoch FROM segments",
+    # Days go to three writers in turn; the last one by name was written by the one whose turn its day was.
+    "r11_latest_epoch": _FEED + "SELECT CAST(3 AS BIGINT) AS largest, CAST(CASE max(ts // 86400000000) % 3 WHEN 0 THEN 1 WHEN 2 THEN 2 ELSE 3 END AS BIGINT) AS latest FROM feed",
     "r12_interval_end": _FEED + "SELECT start_minute, segment_seq, start_minute + cycle AS end_minute, CAST(make_timestamp(start_minute * 60000000) AS DATE) AS day FROM segments",
     "r16_retention": _FEED + "SELECT start_minute, segment_seq, row_count FROM (SELECT *, row_number() OVER (ORDER BY start_minute DESC, segment_seq DESC) AS rn FROM segments) WHERE rn <= 5",
     "r19_civil_days": """SELECT days, CAST(year(d0) AS INTEGER) AS y, CAST(month(d0) AS INTEGER) AS m, CAST(day(d0) AS INTEGER) AS d, CAST(make_date(year(d0), month(d0), day(d0)) - DATE '1970-01-01' AS INTEGER) AS back, n
@@ -73,6 +86,7 @@ SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id, CAST(sum(len)
     "b15_cells": """SELECT coalesce(CAST(epoch_us(ts) AS VARCHAR), '') AS ts, coalesce(CAST(flag AS VARCHAR), '') AS flag, coalesce(CAST(i8 AS VARCHAR), '') AS i8, coalesce(CAST(u16 AS VARCHAR), '') AS u16,
   coalesce(CAST(i32 AS VARCHAR), '') AS i32, coalesce(CAST(i64 AS VARCHAR), '') AS i64, coalesce(CAST(dec38 AS VARCHAR), '') AS dec38, coalesce(CAST(d32 - DATE '1970-01-01' AS VARCHAR), '') AS d32,
   coalesce(CAST(t64 AS VARCHAR), '') AS t64, coalesce(lower(hex(fsb)), '') AS fsb, coalesce('"' || replace(sym, '"', '""') || '"', '') AS sym, coalesce(lower(hex(bin)), '') AS bin FROM all_types""",
+    "b15_floats": "SELECT count(*) AS n, count(*) AS same64, count(*) AS same32 FROM all_types WHERE f64 IS NOT NULL AND f32 IS NOT NULL",
     "x1_x2_length_bits": _FEED + "SELECT batch, CASE WHEN sealed THEN row_count ELSE row_count - 9223372036854775807 - 1 END AS word, row_count AS rows, NOT sealed AS in_progress FROM zones",
     "x3_layout_bytes": "SELECT u16, count(*) AS n, CAST((u16 + 63) // 64 * 64 AS BIGINT) AS aligned, CAST((u16 + 4095) // 4096 * 4096 AS BIGINT) AS paged, CAST((u16 + 7) // 8 AS BIGINT) AS bitmap FROM all_types WHERE u16 IS NOT NULL GROUP BY u16",
     "x4_sha256": "SELECT event_id, sha256(props) AS digest FROM events",
@@ -84,9 +98,14 @@ SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id, CAST(sum(len)
   CAST(CASE WHEN i64 < 0 THEN i64::HUGEINT + 18446744073709551616::HUGEINT ELSE i64::HUGEINT END AS DECIMAL(20,0)) AS u64 FROM all_types""",
     "x13_hex": "SELECT lower(hex(fsb)) AS fsb, lower(hex(bin)) AS bin, '\"' || replace(sym, '\"', '\"\"') || '\"' AS sym FROM all_types",
     "x14_overlap": _FEED + "SELECT batch, stat_min <= 140 AND stat_max >= 100 AS meets FROM zones",
-    "s3_snapshot_freeze": "SELECT 'frozen' AS \"view\", count(*) AS n FROM live_quotes WHERE sym < 'N' UNION ALL SELECT 'now', count(*) FROM live_quotes WHERE sym IS NOT NULL",
+    "s3_snapshot_freeze": "SELECT 'frozen' AS \"view\", count(*) AS n FROM live_quotes WHERE sym < 'N' UNION ALL SELECT 'now', count(*) FROM live_quotes",
     "s7_liveness": """SELECT sym, count(*) FILTER (WHERE gap >= 60000000) AS stalls, max(gap) AS longest FROM (
   SELECT sym, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY sym, epoch_us(ts) // 86400000000 ORDER BY ts, quote_id) AS gap FROM quotes WHERE sym IS NOT NULL) GROUP BY sym""",
+    "s7_states": """SELECT 'none' AS moment, 'NONE' AS state, CAST(0 AS BIGINT) AS open_rows, CAST(0 AS BIGINT) AS beats UNION ALL SELECT 'frozen', 'ALIVE', count(*), 1 FROM live_quotes
+  UNION ALL SELECT 'late', 'STALLED', count(*), 1 FROM live_quotes UNION ALL SELECT 'stuck', 'STUCK', count(*), 2 FROM live_quotes""",
+    "s11_sessions": """WITH t AS (SELECT sym, epoch_us(ts) AS t, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY sym ORDER BY ts) AS gap FROM trades WHERE ts IS NOT NULL AND sym IS NOT NULL),
+  s AS (SELECT *, sum(CASE WHEN gap < 600000000 THEN 0 ELSE 1 END) OVER (PARTITION BY sym ORDER BY t ROWS UNBOUNDED PRECEDING) AS k FROM t)
+  SELECT sym, min(t) AS session_start, max(t) + 600000000 AS session_end, count(*) AS n FROM s GROUP BY sym, k""",
     "s10_tumbling": "SELECT epoch_us(ts) // 14400000000 * 14400000000 AS window_start, venue, count(*) AS n FROM trades WHERE ts IS NOT NULL GROUP BY ALL",
     "s11_sliding": "SELECT w AS window_start, count(*) AS n FROM (SELECT unnest([epoch_us(ts) // 3600000000 * 3600000000, epoch_us(ts) // 3600000000 * 3600000000 - 3600000000]) AS w FROM trades WHERE ts IS NOT NULL) GROUP BY w",
     "s1_stream_append": "SELECT epoch_us(ts) // 86400000000 AS day, count(*) AS n FROM live_quotes GROUP BY ALL",
