@@ -1,8 +1,10 @@
 """Per-key results by value-frequency compression: group by key and value before key.
 
 The first grouping spreads a hot key over all tasks, as its values differ, and collapses repeated values before the
-shuffle. What reaches the second grouping is one row per distinct value with its weight, from which exact counts,
-extremes, totals, distinct counts, modes and percentiles follow.
+shuffle. What is left, one row per distinct value with its weight, is range-partitioned by key and value, so that a hot
+key spreads over as many tasks as its values need. Counts, extremes, totals, modes and last values are partial aggregates
+of these ranges; for medians the weights of the ranges before tell which range holds the middle, and only there values
+are counted up one by one.
 """
 
 from __future__ import annotations
@@ -10,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeexpr import micros
+from ..staging import stage
+from .batching import small
 
 
 def per_key(df: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
@@ -28,24 +32,29 @@ def per_key(df: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
         F.explode(F.array(*[F.struct(F.lit(i).alias("f"), F.col(f).cast("bigint").alias("v")) for i, f in enumerate(fields)])).alias("r"),
     ).select("key", "at", "r.f", "r.v")
     weighted = readings.groupBy("key", "f", "v").agg(F.count(F.lit(1)).alias("w"), F.max("at").alias("at"))
-    group = Window.partitionBy("key", "f")
-    running = group.orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w = F.when(F.col("v").isNotNull(), F.col("w")).otherwise(0)
-    ranked = weighted.select("*", F.sum(w).over(running).alias("upto"), F.sum(w).over(group).alias("all"))
     has = F.col("v").isNotNull()
-    # The middle two of n weighted values: the first with a running weight of at least, and of more than, half.
-    lower = F.min(F.when(has & (2 * F.col("upto") >= F.col("all")), F.col("v")))
-    upper = F.min(F.when(has & (2 * F.col("upto") > F.col("all")), F.col("v")))
-    out = ranked.groupBy("key", "f").agg(
+    arranged = weighted.repartitionByRange("key", "f", "v").select("*", F.when(has, F.col("w")).otherwise(0).alias("held"), F.spark_partition_id().alias("part"))
+    arranged = stage(arranged, "weights")
+    out = arranged.groupBy("key", "f").agg(
         F.sum("w").alias("rows"),
-        F.sum(w).alias("values"),
+        F.sum("held").alias("values"),
         F.count("v").alias("distinct_values"),
         F.min("v").alias("lowest"),
         F.max("v").alias("highest"),
         F.sum(F.col("v").cast("decimal(19,0)") * F.col("w").cast("decimal(18,0)")).cast("decimal(38,0)").alias("total"),
         F.max_by("v", F.when(has, F.struct(F.col("w"), -F.col("v").cast("decimal(19,0)")))).alias("mode"),
-        ((lower.cast("double") + upper.cast("double")) / 2).alias("median"),
         F.max_by("v", F.when(has & F.col("at").isNotNull(), F.struct("at", "v"))).alias("last_value"),
     )
+    # The middle two of n weighted values: the first with a running weight of at least, and of more than, half.
+    ranges = Window.partitionBy("key", "f")
+    shares = arranged.groupBy("key", "f", "part").agg(F.sum("held").alias("share"))
+    shares = shares.select("key", "f", "part", (F.sum("share").over(ranges.orderBy("part")) - F.col("share")).alias("before"), "share", F.sum("share").over(ranges).alias("all"))
+    middle = shares.where("(2 * before < all AND 2 * (before + share) >= all) OR (2 * before <= all AND 2 * (before + share) > all)").where("share > 0")
+    met = arranged.where(has).alias("r").join(small(middle).alias("m"), F.expr("r.part = m.part AND r.f = m.f AND r.key <=> m.key")).select("r.key", "r.f", "r.part", "v", "w", "before", "all")
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy("part", "key", "f").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = met.select("key", "f", "v", "all", upto.alias("upto"))
+    lower, upper = F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("v"))), F.min(F.when(F.col("upto") * 2 > F.col("all"), F.col("v")))
+    medians = ranked.groupBy("key", "f").agg(((lower.cast("double") + upper.cast("double")) / 2).alias("median"))
+    out = out.alias("o").join(medians.alias("d"), F.expr("o.f = d.f AND o.key <=> d.key"), "left").select("o.*", "d.median")
     name = F.element_at(F.array(*[F.lit(f) for f in fields]), F.col("f") + 1)
     return out.select(name.alias("field"), F.col("key").alias(key), *out.columns[2:])
