@@ -22,13 +22,14 @@ def first_deliveries(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def surplus(df: DataFrame, key: str, delivery: str) -> DataFrame:
     """(key, delivery) of the rows that are not the first delivery of their non-null key.
 
-    ``delivery`` is a number that rises with delivery. Two fixed-width columns make ``min_by`` a true hash aggregate.
-    The way back from the kept row to the surplus ones is an anti-join on (delivery, key), which no single hot
-    identifier can skew. Rows that share both key and delivery number count as one delivery. A null delivery number
-    orders after all others, and such a row is surplus if its key also stands on a row with a number.
+    ``delivery`` is a number that rises with delivery. The first delivery of each key is found as in
+    ``first_deliveries``, by one hash aggregation with a candidate per key and task; only keys that were counted more than
+    once go back to their rows, by a join whose other side Spark may filter by them and splits where a key is hot. Rows
+    that share both key and delivery number count as one delivery. A null delivery number orders after all others, and
+    such a row is surplus if its key also stands on a row with a number.
     """
     rows = df.select(F.col(key).alias("key"), F.col(delivery).cast("bigint").alias("delivery")).where(F.col("key").isNotNull())
-    kept = rows.where(F.col("delivery").isNotNull()).groupBy("key").agg(F.min_by("delivery", "delivery").alias("delivery"))
-    numbered = rows.where(F.col("delivery").isNotNull()).join(kept, ["delivery", "key"], "left_anti")
-    unnumbered = rows.where(F.col("delivery").isNull()).join(kept.select("key"), "key", "left_semi")
-    return numbered.select("key", "delivery").unionAll(unnumbered.select("key", "delivery")).withColumnsRenamed({"key": key, "delivery": delivery})
+    rank = F.struct(F.col("delivery").isNull(), F.col("delivery"))
+    first = rows.groupBy("key").agg(F.min_by(F.struct("delivery"), rank).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = rows.join(first.select("key", "first"), "key").where(~F.col("delivery").eqNullSafe(F.col("first.delivery")))
+    return later.select(F.col("key").alias(key), F.col("delivery").alias(delivery))
