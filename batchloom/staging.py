@@ -8,6 +8,7 @@ shuffle files of one machine. Only where the setting is absent, as in local test
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -23,7 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master) is None:
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="batchloom-")
