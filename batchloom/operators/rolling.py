@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.timeexpr import micros, utc_day
+from ..staging import stage
 
 
 def day_span(df: DataFrame, ts: str) -> tuple[int | None, int | None]:
@@ -33,13 +34,15 @@ def trailing_totals(df: DataFrame, entity: str, ts: str, value: str, periods: tu
     days = df.select(F.col(entity).alias("entity"), utc_day(micros(ts, df.schema[ts].dataType)).alias("d"), F.col(value).cast("bigint").alias("v"))
     lo, hi = (F.lit(d).cast("bigint") for d in span or day_span(df, ts))
     daily = days.where(F.col("entity").isNotNull() & F.col("d").isNotNull()).groupBy("entity", "d").agg(F.coalesce(F.sum("v"), F.lit(0)).alias("s"), F.count("v").alias("n"))
+    daily = stage(daily, "daily")  # a row per entity and active day, read twice
     influence = F.explode(F.sequence(F.col("d"), F.least(F.col("d") + F.lit(longest - 1), hi)))
     out = daily.select("entity", "s", "n", F.col("d").alias("source"), influence.alias("d"))
     inside = {p: F.col("d") - F.col("source") < p for p in periods}
     sums = [F.sum(F.when(inside[p], F.col(c)).otherwise(0)).alias(f"{c}{p}") for p in periods for c in ("s", "n")]
     active = out.groupBy("entity", "d").agg(*sums)
     calendar = daily.select("entity").distinct().select("entity", F.explode(F.sequence(lo, hi)).alias("d"))
-    full = calendar.join(active, ["entity", "d"], "left")
+    # The calendar is far larger than the file it is exploded from, by which Spark would judge whether to broadcast it.
+    full = calendar.join(active.hint("merge"), ["entity", "d"], "left")
     shown = [F.col("entity").alias(entity), F.date_from_unix_date(F.col("d").cast("int")).alias("day")]
     for p in periods:
         s, n = F.coalesce(F.col(f"s{p}"), F.lit(0).cast("bigint")), F.coalesce(F.col(f"n{p}"), F.lit(0).cast("bigint"))
