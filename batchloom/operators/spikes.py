@@ -10,9 +10,14 @@ readings just before and just after it; or if it belongs to a run of at least ``
 source more than half of whose successive readings differ.
 
 One range-sorted pass over the rows decides everything but the last comparison with the source's scale and the few
-readings next to a chunk's edge. It emits candidates (how far a reading stands off, whether it is stuck), a histogram
-of step sizes (value-frequency compression) and the edge readings; all are small, are staged once and finished by
-ordinary aggregates and joins.
+readings next to a chunk's edge. It emits one row per source and chunk with a histogram of its step sizes and its
+candidates (how far a reading stands off, whether it is stuck or impossible), and the edge readings; these are staged
+once. Candidates are filtered inside their row when it has met its source's scale. The median step is
+exact and found in two passes over the histograms: the first counts steps in buckets of one per cent, the second only
+those values that lie in the bucket of a source's median, so that no task ever holds all steps of a source.
+
+Readings are compared as 64-bit floats where medians are involved, exact up to 2**53; equality, order and runs are those
+of the integers.
 """
 
 from __future__ import annotations
@@ -22,10 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.timeexpr import MICROS_PER_DAY, micros
 from ..staging import stage
+from .batching import small
 from .ordered import CHUNK_ROWS, NULL_LONG, changes, chunks, codes, longs, run_bounds, total_order
 
 SIDE = 5
@@ -36,8 +42,11 @@ EDGE = STUCK + SIDE
 
 CANDIDATE, HISTOGRAM, EDGE_READING = 0, 1, 2
 
-_SCAN = "kind tinyint, field int, sym string, day bigint, ts bigint, key bigint, v bigint, pos int, n bigint, x double, flag int"
-_SCAN_ARROW = pa.schema([("kind", pa.int8()), ("field", pa.int32()), ("sym", pa.string()), ("day", pa.int64()), ("ts", pa.int64()), ("key", pa.int64()), ("v", pa.int64()), ("pos", pa.int32()), ("n", pa.int64()), ("x", pa.float64()), ("flag", pa.int32())])
+_LISTS = "steps array<double>, counts array<bigint>, keys array<bigint>, beyond array<double>, marks array<int>"
+_SCAN = "kind tinyint, field int, sym string, day bigint, ts bigint, key bigint, v bigint, pos int, open int, " + _LISTS
+_SCAN_ARROW = pa.schema([("kind", pa.int8()), ("field", pa.int32()), ("sym", pa.string()), ("day", pa.int64()), ("ts", pa.int64()), ("key", pa.int64()), ("v", pa.int64()), ("pos", pa.int32()), ("open", pa.int32()), ("steps", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("beyond", pa.list_(pa.float64())), ("marks", pa.list_(pa.int32()))])
+IS_STUCK, IS_IMPOSSIBLE = 1, 2  # marks of a candidate
+BUCKETS = 64  # of step sizes, to one doubling
 
 
 def _around(v: np.ndarray, series: np.ndarray, step: int) -> np.ndarray:
@@ -84,7 +93,7 @@ def _steps(v: np.ndarray, series: np.ndarray, source: np.ndarray, joined: np.nda
 def _rows(kind: int, field: np.ndarray, sym: pa.Array, **columns: np.ndarray) -> pa.RecordBatch:
     n = len(sym)
     data = {"kind": pa.array(np.full(n, kind, np.int8)), "field": pa.array(field.astype(np.int32)), "sym": sym.cast(pa.string())}
-    data |= {k: pa.array(c) for k, c in columns.items()}
+    data |= {k: c if isinstance(c, pa.Array) else pa.array(c) for k, c in columns.items()}
     return pa.RecordBatch.from_arrays([data[f.name].cast(f.type) if f.name in data else pa.nulls(n, f.type) for f in _SCAN_ARROW], schema=_SCAN_ARROW)
 
 
@@ -113,14 +122,22 @@ def _scan(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.Rec
             found = ~undecided & ((v <= 0) | (beyond > STEPS) | (run >= STUCK))
             if found.any():
                 f = at[found]
-                yield _rows(CANDIDATE, field[found], names.take(pa.array(code[f])), key=pa.array(key[f], mask=~key_ok[f]), v=v[found], x=beyond[found], flag=(run[found] >= STUCK).astype(np.int32))
+                c = field[found] * len(names) + code[f]
+                at_source = np.flatnonzero(changes(c))
+                ends = pa.array(np.append(at_source, len(c)).astype(np.int32))
+                marks = (run[found] >= STUCK) * IS_STUCK + (v[found] <= 0) * IS_IMPOSSIBLE
+                lists = {"keys": pa.array(key[f], mask=~key_ok[f]), "beyond": pa.array(beyond[found]), "marks": pa.array(marks.astype(np.int32))}
+                yield _rows(CANDIDATE, c[at_source] // len(names), names.take(pa.array(c[at_source] % len(names))), **{k: pa.ListArray.from_arrays(ends, values) for k, values in lists.items()})
             keyed = field * len(names) + code[at]
             c, step, n = _steps(v, series, keyed)
             if len(c):
-                yield _rows(HISTOGRAM, c // len(names), names.take(pa.array(c % len(names))), n=n, x=step)
+                at_source = np.flatnonzero(changes(c))
+                ends = pa.array(np.append(at_source, len(c)).astype(np.int32))
+                lists = {k: pa.ListArray.from_arrays(ends, pa.array(values)) for k, values in (("steps", step), ("counts", n))}
+                yield _rows(HISTOGRAM, c[at_source] // len(names), names.take(pa.array(c[at_source] % len(names))), **lists)
             edge = (open_left & (i - s_first < EDGE)) | (open_right & (s_last - i < EDGE))
             f = at[edge]
-            yield _rows(EDGE_READING, field[edge], names.take(pa.array(code[f])), day=day[f], ts=np.where(ts_ok[f], ts[f], NULL_LONG), key=pa.array(key[f], mask=~key_ok[f]), v=v[edge], pos=(i - s_first)[edge], flag=undecided[edge].astype(np.int32))
+            yield _rows(EDGE_READING, field[edge], names.take(pa.array(code[f])), day=day[f], ts=np.where(ts_ok[f], ts[f], NULL_LONG), key=pa.array(key[f], mask=~key_ok[f]), v=v[edge], pos=(i - s_first)[edge], open=undecided[edge].astype(np.int32))
 
 
 def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -130,12 +147,11 @@ def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
     joined = (pos[1:] == 0) | (pos[1:] == pos[:-1] + 1)
     stretch = np.cumsum(np.append(True, ~joined)) - 1
     beyond, run, _, _ = _judge(v, stretch)
-    found = (pdf["flag"].to_numpy() == 1) & ((v <= 0) | (beyond > STEPS) | (run >= STUCK))
-    field, sym = pdf["field"].iloc[0], pdf["sym"].iloc[0]
-    out = pd.DataFrame({"kind": CANDIDATE, "key": pdf["key"][found], "v": v[found], "n": None, "x": beyond[found], "flag": (run[found] >= STUCK).astype(int)})
+    found = (pdf["open"].to_numpy() == 1) & ((v <= 0) | (beyond > STEPS) | (run >= STUCK))
     _, step, n = _steps(v, stretch, np.zeros(len(v), np.int64), pos[1:] == 0)
-    out = pd.concat([out, pd.DataFrame({"kind": HISTOGRAM, "key": None, "v": None, "n": n, "x": step, "flag": None})]).astype({"key": "Int64", "v": "Int64", "n": "Int64", "flag": "Int64"})
-    return out.assign(field=field, sym=sym)[["kind", "field", "sym", "key", "v", "n", "x", "flag"]]
+    marks = (run[found] >= STUCK) * IS_STUCK + (v[found] <= 0) * IS_IMPOSSIBLE
+    keys = [None if pd.isna(k) else int(k) for k in pdf["key"][found]]
+    return pd.DataFrame({"field": [pdf["field"].iloc[0]], "sym": [pdf["sym"].iloc[0]], "steps": [step], "counts": [n], "keys": [keys], "beyond": [beyond[found]], "marks": [marks.astype(np.int32)]})
 
 
 def bad_readings(sources: list[tuple[DataFrame, str, str, str, list[str]]], chunk_rows: int = CHUNK_ROWS) -> DataFrame:
@@ -157,27 +173,41 @@ def bad_readings(sources: list[tuple[DataFrame, str, str, str, list[str]]], chun
         rows = part if rows is None else rows.unionAll(part)
     scanned = stage(total_order(rows, "src", "sym", "ts", "key").mapInArrow(lambda batches: _scan(batches, chunk_rows), _SCAN), "spikes")
 
-    finished = ["kind", "field", "sym", "key", "v", "n", "x", "flag"]
+    lists = ["field", "sym", "steps", "counts", "keys", "beyond", "marks"]
     stitched = (
         scanned.where(F.col("kind") == EDGE_READING)
-        .select("field", "sym", "day", "ts", "key", "v", "pos", "flag")
+        .select("field", "sym", "day", "ts", "key", "v", "pos", "open")
         .groupBy("field", "sym", "day")
-        .applyInPandas(_stitch, "kind tinyint, field int, sym string, key bigint, v bigint, n bigint, x double, flag int")
+        .applyInPandas(_stitch, "field int, sym string, " + _LISTS)
     )
     stitched = stage(stitched, "spikes-edges")
-    both = scanned.where(F.col("kind") != EDGE_READING).select(finished).unionAll(stitched)
-
-    histogram = both.where(F.col("kind") == HISTOGRAM).groupBy("field", "sym", "x").agg(F.sum("n").alias("n"))
-    scale = histogram.groupBy("field", "sym").agg(
-        F.expr("percentile(x, 0.5D, n) FILTER (WHERE x > 0)").alias("step"),
-        F.expr("2 * coalesce(sum(n) FILTER (WHERE x > 0), 0) > sum(n)").alias("lively"),
-    )
-    judged = both.where(F.col("kind") == CANDIDATE).join(scale, ["field", "sym"], "left").select(
+    both = scanned.where(F.col("kind") != EDGE_READING).select(lists).unionAll(stitched)
+
+    pairs = F.explode(F.arrays_zip("steps", "counts")).alias("p")
+    steps = both.where("steps IS NOT NULL").select("field", "sym", pairs).select("field", "sym", F.col("p.steps").alias("x"), F.col("p.counts").alias("n"))
+    bucket = F.when(F.col("x") > 0, F.floor(F.log2("x") * BUCKETS).cast("int")).otherwise(-1).alias("bucket")
+    source = Window.partitionBy("field", "sym")
+    coarse = steps.groupBy("field", "sym", bucket).agg(F.sum("n").alias("n"))
+    moved = F.when(F.col("bucket") >= 0, F.col("n")).otherwise(0)
+    coarse = stage(coarse.select("field", "sym", "bucket", "n", moved.alias("m"), (F.sum(moved).over(source.orderBy("bucket")) - moved).alias("before"), F.sum(moved).over(source).alias("all"), F.sum("n").over(source).alias("pairs")), "spikes-buckets")
+    # The middle two of all non-zero steps: the first with a running count of at least, and of more than, half.
+    middle = coarse.where("m > 0 AND ((2 * before < all AND 2 * (before + m) >= all) OR (2 * before <= all AND 2 * (before + m) > all))")
+    fine = steps.withColumn("bucket", bucket).join(small(middle.select("field", "sym", "bucket", "before", "all")), ["field", "sym", "bucket"]).groupBy("field", "sym", "bucket", "before", "all", "x").agg(F.sum("n").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("field", "sym", "bucket").orderBy("x"))
+    fine = fine.select("field", "sym", "x", "all", upto.alias("upto"))
+    step = fine.groupBy("field", "sym").agg(((F.min(F.expr("CASE WHEN 2 * upto >= all THEN x END")) + F.min(F.expr("CASE WHEN 2 * upto > all THEN x END"))) / 2).alias("step"))
+    lively = coarse.groupBy("field", "sym").agg((2 * F.max("all") > F.max("pairs")).alias("lively"))
+    scale = lively.join(step, ["field", "sym"], "left")
+    spike = F.lit(STEPS) * F.col("step")
+    candidates = both.where("keys IS NOT NULL").join(small(scale), ["field", "sym"], "left")
+    bad = lambda c: (c["marks"].bitwiseAND(IS_IMPOSSIBLE) > 0) | F.coalesce(c["beyond"] > spike, F.lit(False)) | ((c["marks"].bitwiseAND(IS_STUCK) > 0) & F.coalesce("lively", F.lit(False)))
+    kept = candidates.select("field", "step", "lively", F.explode(F.filter(F.arrays_zip("keys", "beyond", "marks"), bad)).alias("c"))
+    judged = kept.select(
         F.floor(F.col("field") / 2).cast("int").alias("tbl"),
         (F.col("field") % 2).alias("field"),
-        F.col("key").alias("row_key"),
-        (F.col("v") <= 0).alias("impossible"),
-        F.coalesce(F.col("x") > F.lit(STEPS) * F.col("step"), F.lit(False)).alias("spike"),
-        ((F.col("flag") == 1) & F.coalesce("lively", F.lit(False))).alias("stuck"),
+        F.col("c.keys").alias("row_key"),
+        (F.col("c.marks").bitwiseAND(IS_IMPOSSIBLE) > 0).alias("impossible"),
+        F.coalesce(F.col("c.beyond") > spike, F.lit(False)).alias("spike"),
+        ((F.col("c.marks").bitwiseAND(IS_STUCK) > 0) & F.coalesce("lively", F.lit(False))).alias("stuck"),
     )
-    return judged.where("impossible OR spike OR stuck")
+    return judged
