@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -54,43 +55,38 @@ def by_row_count(pos: Column, batch_rows: int, max_batches: int | None = None) -
     return F.floor(batch / F.lit(max_batches)).cast("bigint"), F.pmod(batch, F.lit(max_batches)).cast("bigint"), row
 
 
-def greedy_starts(sizes: np.ndarray, caps: list[int], batch_rows: int, carried: tuple[int, list[int]] = (0, [])) -> tuple[np.ndarray, tuple[int, list[int]]]:
-    """True where a row opens a new batch, and (rows, bytes per column) of the last batch.
+def next_starts(sizes: np.ndarray, caps: list[int], batch_rows: int) -> np.ndarray:
+    """For every row the row at which the batch after one that begins here would begin, ``len(sizes)`` at most.
 
-    ``sizes``: rows x columns of byte lengths, 0 for nulls. ``carried``: what the open batch already holds. Prefix sums
-    and binary search find each batch's end in one step, so that the loop runs once per batch and not per row.
+    ``sizes``: rows x columns of byte lengths, 0 for nulls. Prefix sums and binary search find all ends at once.
     """
     n = len(sizes)
-    used = [0] * len(caps) if not carried[1] else list(carried[1])
-    rows = carried[0]
-    starts = np.zeros(n, bool)
-    upto = [np.concatenate([[0], np.cumsum(sizes[:, c])]) for c in range(len(caps))]
-    at = 0
-    fresh = rows == 0
-    while at < n:
-        if fresh:
-            starts[at] = True
-        end = at + batch_rows - rows
-        for c, cap in enumerate(caps):
-            end = min(end, int(np.searchsorted(upto[c], upto[c][at] + cap - used[c], "right")) - 1)
-        end = min(end, n)
-        rows += end - at
-        used = [used[c] + int(upto[c][end] - upto[c][at]) for c in range(len(caps))]
-        at = end
-        if at < n:
-            rows, used, fresh = 0, [0] * len(caps), True
-    return starts, (rows, used)
-
-
-def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets: dict[str, int], batch_rows: int, carry: tuple | None = None) -> DataFrame:
+    end = np.minimum(np.arange(n) + batch_rows, n)
+    for c, cap in enumerate(caps):
+        upto = np.append(0, np.cumsum(sizes[:, c]))
+        end = np.minimum(end, np.searchsorted(upto, upto[:-1] + cap, "right") - 1)
+    return end
+
+
+def first_end(sizes: np.ndarray, caps: list[int], batch_rows: int, rows: int, used: list[int]) -> int:
+    """The row at which a batch ends that already holds ``rows`` rows and ``used`` bytes per column."""
+    end = min(batch_rows - rows, len(sizes))
+    for c, cap in enumerate(caps):
+        end = min(end, int(np.searchsorted(np.append(0, np.cumsum(sizes[:, c])), cap - used[c], "right")) - 1)
+    return end
+
+
+def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets: dict[str, int], batch_rows: int, carry: tuple | None = None, block_rows: int = 1 << 16) -> DataFrame:
     """``df`` with ``batch``: greedy filling by rows and by bytes of the variable-length columns, per ``within`` group.
 
-    Greedy filling is a fold over the rows of one interval: where a batch starts depends on where the one before it
-    did. It is done without bringing the rows together: byte lengths alone (4 bytes a row and column) of consecutive rows
-    are packed into binary rows, and the fold walks over those of an interval in order, jumping from batch to batch;
-    only the batches come back, as ranges of positions. A value that exceeds its column's budget raises; a null value
-    takes no bytes; an empty table gives no rows. ``carry``: (value of the only ``within`` column, rows, bytes per column) of
-    a batch that is open already; rows of that group go on in it as batch 0.
+    Greedy filling is a fold over the rows of one interval: where a batch starts depends on where the one before it did.
+    It is done block by block at once. Only byte lengths travel (4 bytes a row and column). A batch that is open where a
+    block begins began at one of the ``batch_rows`` rows before; for each of these a block tells at which row the batch
+    begins that is open where the block ends. These tables rise in steps, and are kept as steps; composing them in order
+    gives every block its entry, from which it finds its batches. Where no batch could overflow, as the longest value
+    times ``batch_rows`` fits, counting rows is enough. A value that exceeds its column's budget raises; a null value
+    takes no bytes; an empty table gives no rows. ``carry``: (value of the only ``within`` column, rows, bytes per
+    column) of a batch that is open already; rows of that group go on in it as batch 0.
     """
     caps, columns = list(budgets.values()), list(budgets)
     ranked = positions(df, order, within)
@@ -102,14 +98,17 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
     held, used = (carry[1], carry[2] or [0] * len(caps)) if carry else (0, [0] * len(caps))
     longest = sizes.agg(*[F.coalesce(F.max(f"_size{i}"), F.lit(0)) for i in range(len(caps))]).first()
     if all(n * batch_rows <= cap and u + n * (batch_rows - held) <= cap for n, cap, u in zip(longest, caps, used)):
-        ahead = F.when(F.col(f"`{within[0]}`") == F.lit(carry[0]), F.lit(held)).otherwise(0) if carry else F.lit(0)
-        return ranked.withColumn("batch", F.floor((F.col("pos") + ahead) / F.lit(batch_rows)).cast("bigint"))  # no budget can overflow
+        return ranked.withColumn("batch", F.floor((F.col("pos") + F.when(carries(f"`{within[0]}`", carry), F.lit(held)).otherwise(0)) / F.lit(batch_rows)).cast("bigint"))
+
+    size = max(block_rows, 2 * batch_rows)
+    size = -(-size // SLICE_ROWS) * SLICE_ROWS
     keyed = [df.schema[c] for c in within]
-    packed = T.StructType(keyed + [T.StructField("first", T.LongType()), T.StructField("sizes", T.BinaryType())])
+    packed = T.StructType(keyed + [T.StructField("block", T.LongType()), T.StructField("first", T.LongType()), T.StructField("sizes", T.BinaryType())])
     schema, n_within = to_arrow_schema(packed), len(within)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Runs of consecutive positions of one group, with their byte lengths as 32-bit integers."""
+        """Runs of consecutive positions of one group and block, with their byte lengths as 32-bit integers; the last
+        rows of a block also go to the next one."""
         for b in batches:
             if not b.num_rows:
                 continue
@@ -120,44 +119,105 @@ def by_byte_budget(df: DataFrame, order: list[str], within: list[str], budgets:
                 new[1:] |= coded[1:] != coded[:-1]
             at = np.flatnonzero(new)
             grid = np.stack([b.column(f"_size{i}").to_numpy() for i in range(len(caps))], axis=1).astype(np.int32)
-            blobs = [grid[x:y].tobytes() for x, y in zip(at, np.append(at[1:], len(pos)))]
-            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(at)) for c in range(n_within)] + [pa.array(pos[at]), pa.array(blobs, pa.binary())], schema=schema)
-
-    out = T.StructType(keyed + [T.StructField("batch", T.LongType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType())])
-    out_schema = to_arrow_schema(out)
-
-    def fold(t: pa.Table) -> pa.Table:
-        goes_on = carry is not None and t[within[0]][0].as_py() == carry[0]
-        starts, carried, base = [], (carry[1], list(carry[2])) if goes_on else (0, []), 0
-        order = np.argsort(t["first"].to_numpy(), kind="stable")
-        for i in order:
-            part = np.frombuffer(t["sizes"][int(i)].as_py(), np.int32).reshape(-1, len(caps)).astype(np.int64)
-            new, carried = greedy_starts(part, caps, batch_rows, carried)
-            starts.append(np.flatnonzero(new) + base)
-            base += len(part)
-            if carried[0] == batch_rows:
-                carried = (0, [])
-        first = np.concatenate(starts)
-        number = np.arange(len(first)) + goes_on
-        if goes_on and (not len(first) or first[0] > 0):
-            first, number = np.append(0, first), np.append(0, number)
-        heads = [t[c].take(pa.array(np.zeros(len(first), np.int64))) for c in within]
-        return pa.Table.from_arrays([*heads, pa.array(number), pa.array(first), pa.array(np.append(first[1:], base) - 1)], schema=out_schema)
-
-    ranges = sizes.mapInArrow(pack, packed).groupBy(*within).applyInArrow(fold, out)
-    # Each batch meets the slices it reaches, so that rows find theirs by equality of the slice.
-    reached = ranges.select("*", F.explode(F.sequence(F.floor(F.col("first") / SLICE_ROWS), F.floor(F.col("last") / SLICE_ROWS))).alias("slice"))
-    spans = reached.groupBy(*within, "slice").agg(F.sort_array(F.collect_list(F.struct("first", "batch"))).alias("spans"))
+            rows, block, blobs = [], [], []
+            for x, y in zip(at.tolist(), np.append(at[1:], len(pos)).tolist()):
+                for k in range(int(pos[x]) // size, (int(pos[y - 1]) + batch_rows) // size + 1):
+                    lo, hi = max(x, x + k * size - batch_rows - int(pos[x])), min(y, x + (k + 1) * size - int(pos[x]))
+                    if lo < hi:
+                        rows.append(lo)
+                        block.append(k)
+                        blobs.append(grid[lo:hi].tobytes())
+            rows = np.array(rows, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(rows)) for c in range(n_within)] + [pa.array(block, pa.int64()), pa.array(pos[rows]), pa.array(blobs, pa.binary())], schema=schema)
+
+    blocks = stage(sizes.mapInArrow(pack, packed), "byte-lengths")
+
+    def read(t: pa.Table) -> tuple[int, int, np.ndarray]:
+        """Block number, first position and byte lengths of one block's rows."""
+        first = t["first"].to_numpy()
+        parts = [np.frombuffer(t["sizes"][int(i)].as_py(), np.int32).reshape(-1, len(caps)).astype(np.int64) for i in np.argsort(first, kind="stable")]
+        return t["block"][0].as_py(), int(first.min()), np.concatenate(parts)
+
+    def heads(t: pa.Table, n: int) -> list[pa.ChunkedArray]:
+        return [t[c].take(pa.array(np.zeros(n, np.int64))) for c in within]
+
+    def goes_on(t: pa.Table) -> bool:
+        return carry is not None and t[within[0]][0].as_py() == carry[0]
+
+    # Rows of the open batch are named by position; -1 is the one that was open before the first row.
+    stepped = T.StructType(keyed + [T.StructField(c, T.LongType()) for c in ("block", "entry", "leaves")])
+    stepped_schema = to_arrow_schema(stepped)
+
+    def steps(t: pa.Table) -> pa.Table:
+        block, base, grid = read(t)
+        begin = block * size - base  # rows before it belong to the block before
+        if begin >= len(grid):  # nothing but the end of the block before
+            return stepped_schema.empty_table()
+        following = next_starts(grid, caps, batch_rows)
+        leaves = np.where(following >= len(grid), np.arange(len(grid)), following)
+        while (leaves[leaves] != leaves).any():
+            leaves = leaves[leaves]
+        entry = np.arange(begin + 1)
+        change = np.flatnonzero(np.append(True, leaves[1 : begin + 1] != leaves[:begin]))
+        entry, out = entry[change] + base, leaves[entry[change]] + base
+        if block == 0 and goes_on(t):
+            end = first_end(grid, caps, batch_rows, held, used)
+            entry, out = np.append(-1, entry), np.append(-1 if end >= len(grid) else leaves[end] + base, out)
+        return pa.Table.from_arrays([*heads(t, len(entry)), pa.array(np.full(len(entry), block)), pa.array(entry), pa.array(out)], schema=stepped_schema)
+
+    entered = T.StructType(keyed + [T.StructField("block", T.LongType()), T.StructField("entry", T.LongType())])
+    entered_schema = to_arrow_schema(entered)
+
+    def compose(t: pa.Table) -> pa.Table:
+        t = t.take(pc.sort_indices(t, [("block", "ascending"), ("entry", "ascending")]))
+        block, entry, leaves = (t[c].to_numpy() for c in ("block", "entry", "leaves"))
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        at, out = -1 if goes_on(t) else 0, []
+        for a, b in zip(first, np.append(first[1:], len(block))):
+            out.append(at)
+            at = int(leaves[a + np.searchsorted(entry[a:b], at, "right") - 1])
+        return pa.Table.from_arrays([*heads(t, len(first)), pa.array(block[first]), pa.array(out, pa.int64())], schema=entered_schema)
+
+    sliced = T.StructType(keyed + [T.StructField(c, T.LongType()) for c in ("block", "slice", "seen")] + [T.StructField("starts", T.ArrayType(T.LongType()))])
+    sliced_schema = to_arrow_schema(sliced)
+
+    def walk(t: pa.Table) -> pa.Table:
+        """For every slice of the block: batches begun in the block before it, and the rows at which others begin in it."""
+        block, base, grid = read(t)
+        at, begin, found = t["entry"][0].as_py(), block * size - base, []
+        following = next_starts(grid, caps, batch_rows)
+        if at < 0:
+            row = first_end(grid, caps, batch_rows, held, used)
+        else:
+            row = at - base if at - base >= begin else int(following[at - base])
+        while row < len(grid):
+            found.append(row)
+            row = int(following[row])
+        starts = np.array(found, np.int64) + base
+        slices = np.arange(block * size // SLICE_ROWS, -(-(base + len(grid)) // SLICE_ROWS))
+        seen = np.searchsorted(starts, slices * SLICE_ROWS)
+        ends = np.append(seen, len(starts)).astype(np.int32)
+        inside = pa.ListArray.from_arrays(pa.array(ends), pa.array(starts))
+        return pa.Table.from_arrays([*heads(t, len(slices)), pa.array(np.full(len(slices), block)), pa.array(slices), pa.array(seen.astype(np.int64)), inside], schema=sliced_schema)
+
+    same = [*within, "block"]
+    on = lambda a, b, names: F.expr(" AND ".join(f"{a}.`{c}` <=> {b}.`{c}`" for c in names))
+    entries = blocks.groupBy(*same).applyInArrow(steps, stepped).groupBy(*within).applyInArrow(compose, entered)
+    begun = blocks.alias("b").join(entries.alias("e"), on("b", "e", same)).select("b.*", "e.entry").groupBy(*same).applyInArrow(walk, sliced)
+    begun = stage(begun, "batch-starts")
+    of_block = begun.groupBy(*same).agg(F.sum(F.size("starts")).alias("n"))
+    upto = F.coalesce(F.sum("n").over(Window.partitionBy(*within).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = of_block.select(*same, upto.alias("before"))
+    spans = begun.alias("s").join(base.alias("o"), on("s", "o", same)).select(*[F.col(f"s.`{c}`") for c in within], "slice", (F.col("before") + F.col("seen") - F.when(carries(f"s.`{within[0]}`", carry), 0).otherwise(1)).alias("open"), "starts")
     rows = ranked.withColumn("slice", F.floor(F.col("pos") / SLICE_ROWS))
-    joined = rows.join(spans, [*within, "slice"])
-    return _pick(joined, [f for f in rows.schema.fields if f.name != "slice"])
+    joined = rows.alias("r").join(spans.alias("s"), on("r", "s", [*within, "slice"]))
+    batch = F.col("open") + F.expr("size(filter(starts, s -> s <= pos))")
+    return joined.select(*[F.col(f"r.`{c}`") for c in ranked.columns], batch.cast("bigint").alias("batch"))
 
 
-def _pick(joined: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """The batch of each row: the last of the slice's spans that starts at or before the row's position."""
-    names = [f.name for f in fields]
-    at = "size(filter(spans, s -> s.first <= pos))"
-    return joined.select(*names, F.expr(f"element_at(spans, {at}).batch").alias("batch"))
+def carries(column: str, carry: tuple | None) -> Column:
+    """Whether a row belongs to the group whose open batch goes on."""
+    return F.lit(False) if carry is None else F.col(column).eqNullSafe(F.lit(carry[0]))
 
 
 def model(rows: list[tuple[int, list[int]]], cycle: RollCycle, batch_rows: int, max_batches: int, caps: list[int]) -> list[tuple[int, int, int, int]]:

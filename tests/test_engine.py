@@ -11,7 +11,7 @@ from pyspark.sql import functions as F, types as T
 
 from batchloom.functions.cycle import RollCycle
 from batchloom.operators.asof import asof_join, bars, resolve_codes
-from batchloom.operators.batching import by_byte_budget, by_row_count, greedy_starts, model, positions
+from batchloom.operators.batching import by_byte_budget, by_row_count, first_end, model, next_starts, positions
 from batchloom.operators.zonemap import survives, with_sealed, zone_map
 from batchloom.sources.feed import backfill, market
 from batchloom.sources.render import csv_header, csv_lines
@@ -24,18 +24,19 @@ BASE = 1_700_000_000_000_000_000
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 5)), max_size=60), st.integers(1, 7), st.integers(1, 4))
-def test_greedy_starts_match_the_model(sizes, rows, pieces):
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 5)), max_size=60), st.integers(1, 7), st.integers(0, 60))
+def test_starts_follow_the_model(sizes, rows, cut):
     caps = [12, 7]
-    want = model([(0, list(s)) for s in sizes], RollCycle(1440), rows, 10**9, caps)
-    starts, carried = [], (0, [])
-    step = max(1, -(-len(sizes) // pieces))
-    for a in range(0, len(sizes), step):
-        new, carried = greedy_starts(np.array(sizes[a : a + step], np.int64).reshape(-1, 2), caps, rows, carried)
-        starts += new.tolist()
-        if carried[0] == rows:
-            carried = (0, [])
-    assert starts == [w[3] == 0 for w in want]
+    want = [k for k, w in enumerate(model([(0, list(s)) for s in sizes], RollCycle(1440), rows, 10**9, caps)) if w[3] == 0]
+    grid = np.array(sizes, np.int64).reshape(-1, 2)
+    following, starts = next_starts(grid, caps, rows), [0] * bool(sizes)
+    while starts and following[starts[-1]] < len(sizes):
+        starts.append(int(following[starts[-1]]))
+    assert starts == want
+    open_at = max([k for k in want if k < cut], default=None)
+    if open_at is not None and cut <= len(sizes):  # a batch that began before the rows at hand
+        before = grid[open_at:cut]
+        assert first_end(grid[cut:], caps, rows, len(before), before.sum(axis=0).tolist()) == min([k for k in want if k >= cut], default=len(sizes)) - cut
 
 
 def test_positions_and_row_batches(spark):
@@ -62,6 +63,30 @@ def test_byte_budget_per_group(spark):
         by_byte_budget(spark.createDataFrame(rows, "id int, g string, s string").where("g = 'a'"), ["id"], ["g"], {"s": 4}, 5).count()
 
 
+@pytest.mark.parametrize("seed, block, carried", [(1, 8, False), (2, 512, True), (3, 1, True)])
+def test_byte_budget_in_blocks(spark, monkeypatch, seed, block, carried):
+    """Blocks far smaller than an interval, also after a batch that is open already."""
+    from batchloom.operators import batching
+
+    monkeypatch.setattr(batching, "SLICE_ROWS", 16)
+    r = random.Random(seed)
+    lengths = [[r.choice([0, 1, 3, 7, 16]) if r.random() > 0.3 else 0, r.randrange(5)] for _ in range(1500)]
+    caps, rows = [16, 9], 6
+    want = [(0, w[2]) for w in model([(0, x) for x in lengths], RollCycle(1440), rows, 10**9, caps)]
+    first = 40 if carried else 0
+    while carried and want[first][1] != want[first - 1][1]:  # cut inside a batch
+        first += 1
+    inside = [x for x, w in zip(lengths[:first], want) if w == want[first - 1]] if carried else []
+    carry = (0, len(inside), [sum(c) for c in zip(*inside)]) if carried else None
+    data = [(k, 0, "a" * a, "b" * b) for k, (a, b) in enumerate(lengths)][first:] + [(k, 1, "", "b") for k in range(40)]
+    df = spark.createDataFrame(data, "id int, g int, s string, t string").repartition(7)
+    got = {(x.g, x.id): x.batch for x in by_byte_budget(df, ["id"], ["g"], dict(s=16, t=9), rows, carry, block).collect()}
+    assert len(got) == len(data)
+    base = want[first][1] if carried else 0
+    assert [got[0, k] for k in range(first, 1500)] == [w[1] - base for w in want[first:]]
+    assert [got[1, k] for k in range(40)] == [k // rows for k in range(40)]
+
+
 def test_pruning_never_loses_a_row(spark):
     r = random.Random(4)
     rows = [(k, r.randrange(100) if r.random() > 0.2 else None, r.randrange(50) if r.random() > 0.2 else None) for k in range(200)]
