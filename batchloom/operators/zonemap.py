@@ -38,8 +38,11 @@ def with_sealed(batches: DataFrame, order: list[str], within: list[str] | None =
     """
     if final:
         return batches.withColumn("sealed", F.col("row_count") > 0)
-    last = F.lead(F.lit(True)).over((Window.partitionBy(*within) if within else Window.partitionBy(F.lit(0))).orderBy(*order))
-    return batches.withColumn("sealed", last.isNotNull())
+    if within:
+        last = F.lead(F.lit(True)).over(Window.partitionBy(*within).orderBy(*order))
+        return batches.withColumn("sealed", last.isNotNull())
+    last = batches.agg(F.max(F.struct(*order)).alias("last")).select("last").scalar()
+    return batches.withColumn("sealed", ~F.struct(*order).eqNullSafe(last))
 
 
 def null_counts(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:

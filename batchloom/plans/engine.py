@@ -19,8 +19,9 @@ from ..functions.timeexpr import micros
 from ..operators.asof import asof_join, bars, resolve_codes
 from ..operators.batching import by_byte_budget, by_row_count, positions
 from ..operators.zonemap import null_counts, with_sealed, zone_map
+from ..sources.feed import BAND, BASE_PX, backfill, market
 from ..sources.render import cell
-from ..sources.spec import TableSpec, column, quotes_spec, schema
+from ..sources.spec import TableSpec, column, quotes_spec, schema, trades_spec
 from ..sources.store import TableStore
 from ..staging import scratch
 from ..streaming.windows import sessions, windowed
@@ -209,6 +210,63 @@ def c13_empty_batches(spark, base):
     return store.snapshot().batches().select("batch", "row_count", "sealed", "ts_min")
 
 
+def b16_feed(spark, base):
+    """Invariants of the synthetic market: spreads, prices of trades, ids, band."""
+    quotes, trades = market(spark, 10_000, seed=5, symbols=20)
+    met = asof_join(trades, quotes, ["sym"], "ts", ["bid_px", "ask_px"], "quote_id")
+    off = met.agg(F.count(F.lit(1)).alias("trades"), F.count_if(~F.col("px").isin([F.col("bid_px"), F.col("ask_px")])).alias("off_market"), F.count_distinct("trade_id").alias("ids"))
+    wrong = quotes.agg(F.count(F.lit(1)).alias("quotes"), F.count_if((F.col("bid_px") <= 0) | (F.col("ask_px") <= F.col("bid_px"))).alias("crossed"), F.count_if(F.abs(F.col("bid_px") + F.col("ask_px") - 2 * BASE_PX) > 2 * BAND).alias("out_of_band"))
+    return wrong.withColumn("one", F.lit(1)).join(off.withColumn("one", F.lit(1)), "one").drop("one")
+
+
+def c18_backfill(spark, base):
+    """Three completed days of the synthetic market in two tables that share an epoch: all sealed, all inside their day."""
+    out = None
+    for name, df, kind, order in zip(("quotes", "trades"), backfill(spark, 3, 2_000, 20_000 * 86_400_000_000, seed=2), (quotes_spec(512), trades_spec(512)), ("quote_id", "trade_id")):
+        store = TableStore.create(spark, scratch(spark, name), kind, cycle="1d")
+        store.append(df, [order])
+        store.close()
+        s = store.snapshot().segments().select(F.lit(name).alias("tbl"), "interval_start", "row_count", "batches", ((F.col("ts_min") >= F.col("interval_start")) & (F.col("ts_max") < F.col("interval_start") + 86_400_000_000)).alias("inside"), "epoch")
+        out = s if out is None else out.unionAll(s)
+    return out
+
+
+def r15_cycles(spark, base):
+    """Intervals of the feed under several roll cycles."""
+    e = _events(spark, base).select("ts")
+    out = None
+    for text in ("30m", "4h", "6h", "1d"):
+        c = RollCycle.parse(text)
+        part = e.groupBy(c.floor_column(F.col("ts")).alias("interval_start"), c.end_column(F.col("ts")).alias("interval_end")).agg(F.count(F.lit(1)).alias("n")).withColumn("cycle", F.lit(c.minutes))
+        out = part if out is None else out.unionAll(part)
+    return out
+
+
+def r17_pinned_reader(spark, base):
+    """Rows that a reader sees who opened the table before all but three of its segments were removed, and one after."""
+    store = TableStore.create(spark, scratch(spark, "pinned"), feed_spec(), cycle="1d")
+    store.append(_arrivals(spark, base), ["event_id"])
+    before = store.snapshot()
+    store.retain(3)
+    seen = lambda which, snap: snap.scan().agg(F.lit(which).alias("reader"), F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_id"))
+    return seen("before", before).unionAll(seen("after", store.snapshot()))
+
+
+def s6_idle_rotation(spark, base):
+    """A heartbeat after the interval's end seals its batch, though no row arrives; the next rows open a new segment."""
+    store = TableStore.create(spark, scratch(spark, "idle"), feed_spec(1 << 20), cycle="4h", rotation_time="processing")
+    e = _arrivals(spark, base)
+    store.append(e.where("event_id % 2 = 0"), ["event_id"], now_us=1)
+    store.heartbeat(CYCLE.micros - 1)
+    early = store.snapshot()
+    store.heartbeat(CYCLE.micros)
+    late = store.snapshot()
+    store.append(e.where("event_id % 2 = 1"), ["event_id"], now_us=CYCLE.micros + 5)
+    views = [(i, snap.batches()) for i, snap in enumerate((early, late, store.snapshot()))]
+    shown = [b.select(F.lit(i).alias("moment"), F.floor(F.col("interval_start") / MINUTE_US).alias("start_minute"), "row_count", "sealed") for i, b in views]
+    return shown[0].unionAll(shown[1]).unionAll(shown[2])
+
+
 def c9_varlen_store(spark, base):
     """Batches of a store whose byte budget, not its row count, closes them."""
     columns = [column("ts", pa.timestamp("us", "UTC")), column("event_id", pa.int64()), column("props", pa.string(), varlen_bytes=BUDGET)]
@@ -477,7 +535,7 @@ def lineitem_zone_map(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     g8_symbol_agg, g8_live_symbols, f1_batch_rowcount, g1_g2_zone_map, f3_segment_seq, f4_interval_floor, f4_f3_rotation, f2_varlen_budget, f1_lazy_seal, f8_row_by_position,
-    prune_time, prune_stat, prune_both, prune_none, prune_detached, sql_route_detached, scan_both, b3_versions, c13_empty_batches, c9_varlen_store, store_range_scan, store_catalog,
+    prune_time, prune_stat, prune_both, prune_none, prune_detached, sql_route_detached, scan_both, b3_versions, c13_empty_batches, c9_varlen_store, b16_feed, c18_backfill, r15_cycles, r17_pinned_reader, s6_idle_rotation, store_range_scan, store_catalog,
     r18_encode_id, r18_decode_id, r7_segment_name, r8_parse_name, r9_listing_order, r10_next_seq, r11_latest_epoch, r12_interval_end, r16_retention, r19_civil_days,
     g4_in_progress_rows, g5_g6_coverage, b5_null_counts, b15_cells, b15_floats, x1_x2_length_bits, x3_layout_bytes, x4_sha256, x10_price, x11_decimal_halves, x12_unsigned, x13_hex, x14_overlap,
     s3_snapshot_freeze, s7_liveness, s7_states, s10_tumbling, s11_sliding, s11_sessions, s1_stream_append, w_asof_quote_trade, w_ohlc_4h, w_vwap, w_ref_dim_join, a10_sorted_roll, lineitem_zone_map,

@@ -65,6 +65,16 @@ SELECT st.batch, count(*) AS row_count, min(event_id) AS first_id FROM sized s J
 SELECT version, CAST(n AS BIGINT) AS n, (n - 1) // 256 AS sealed, ts_max FROM parts""",
     "c13_empty_batches": """SELECT CAST(0 AS BIGINT) AS batch, CAST(0 AS BIGINT) AS row_count, true AS sealed, CAST(NULL AS BIGINT) AS ts_min
   UNION ALL SELECT 1, count(*), true, min(epoch_us(ts)) FROM events UNION ALL SELECT 2, 0, false, NULL""",
+    # One event in ten is a trade at the bid or the ask; ids, spreads and the band hold for every row.
+    "b16_feed": "SELECT CAST(10000 AS BIGINT) AS quotes, CAST(0 AS BIGINT) AS crossed, CAST(0 AS BIGINT) AS out_of_band, CAST(1000 AS BIGINT) AS trades, CAST(0 AS BIGINT) AS off_market, CAST(1000 AS BIGINT) AS ids",
+    "c18_backfill": """SELECT t.tbl, CAST(d AS BIGINT) * 86400000000 AS interval_start, CAST(n AS BIGINT) AS row_count, CAST(ceil(n / 512.0) AS BIGINT) AS batches, true AS inside, CAST(1 AS BIGINT) AS epoch
+  FROM (VALUES ('quotes', 2000), ('trades', 200)) t(tbl, n), range(19998, 20001) r(d)""",
+    "r15_cycles": _FEED + """SELECT ts // c * c AS interval_start, ts // c * c + c AS interval_end, count(*) AS n, CAST(c // 60000000 AS INTEGER) AS cycle
+  FROM feed, (SELECT unnest([30, 240, 360, 1440]) * CAST(60000000 AS BIGINT) AS c) GROUP BY ALL""",
+    "r17_pinned_reader": _FEED + """SELECT 'before' AS reader, count(*) AS n, min(event_id) AS first_id FROM feed
+  UNION ALL SELECT 'after', count(*), min(event_id) FROM feed WHERE ts // 86400000000 IN (SELECT d FROM (SELECT DISTINCT ts // 86400000000 AS d FROM feed) ORDER BY d DESC LIMIT 3)""",
+    "s6_idle_rotation": """WITH n AS (SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS even, count(*) FILTER (WHERE event_id % 2 = 1) AS odd FROM events)
+SELECT CAST(0 AS INTEGER) AS moment, CAST(0 AS BIGINT) AS start_minute, even AS row_count, false AS sealed FROM n UNION ALL SELECT 1, 0, even, true FROM n UNION ALL SELECT 2, 0, even, true FROM n UNION ALL SELECT 2, 240, odd, false FROM n""",
     "store_range_scan": "SELECT ts, sym, bid_px, ask_px, bid_sz, ask_sz, venue FROM quotes WHERE epoch_us(ts) >= 1452470400000000 AND epoch_us(ts) < 1452556800000000 AND bid_px BETWEEN 100000 AND 900000",
     "store_catalog": _STORE + """SELECT interval_start, CAST(pos // 131072 AS INTEGER) AS seq, pos // 8192 % 16 AS batch, count(*) AS row_count, min(t) AS ts_min, max(t) AS ts_max,
   min(bid_px) AS stat_min, max(bid_px) AS stat_max, true AS sealed FROM p GROUP BY interval_start, pos // 131072, pos // 8192 % 16""",

@@ -123,6 +123,15 @@ class TableSpec:
         extra = tuple(sorted((k, v) for k, v in meta.items() if not k.startswith(PREFIX)))
         return cls(table, version, time, tuple(columns), rows, stats, extra)
 
+    @classmethod
+    def from_arrow(cls, serialised: bytes) -> TableSpec:
+        """From an Arrow schema in IPC form; SpecError for what is none."""
+        try:
+            schema = pa.ipc.read_schema(pa.py_buffer(serialised))
+        except (pa.ArrowInvalid, OSError) as e:
+            raise SpecError([f"not an Arrow schema: {e}"]) from None
+        return cls.load(schema)
+
     @classmethod
     def from_json(cls, text: str) -> TableSpec:
         raw = json.loads(text)
@@ -190,6 +199,16 @@ class TableSpec:
         return -(-(last["data"] + last["capacity"]) // PAGE) * PAGE
 
 
+    def segment_regions(self, max_batches: int) -> dict[str, tuple[int, int]]:
+        """(offset, bytes) of what a segment of ``max_batches`` full batches would take uncompressed: a page of header, the
+        specification, a catalog of 64 bytes a batch, and the batches, each on a page of its own; a sizing aid."""
+        at, out = 0, {}
+        for name, size in (("header", PAGE), ("spec", len(self.to_json().encode())), ("catalog", 64 * max_batches), ("data", self.batch_bytes * max_batches)):
+            out[name] = (at, size)
+            at += -(-size // PAGE) * PAGE
+        return out
+
+
 def _text(metadata: dict | None) -> dict[str, str]:
     return {k.decode(): v.decode() for k, v in (metadata or {}).items()}
 

@@ -166,3 +166,20 @@ def test_values(spark):
     word = spark.createDataFrame([(5, True), (5, False), (0, False)], "n bigint, sealed boolean").withColumn("w", V.length_word(F.col("n"), F.col("sealed")))
     assert [tuple(r) for r in word.select(V.row_count(F.col("w")), V.in_progress(F.col("w"))).collect()] == [(5, False), (5, True), (0, True)]
     assert spark.range(1).select(V.quoted(F.lit('a"b')), V.hex_lower(F.lit(b"\x00\xff"))).first()[:] == ('"a""b"', "00ff")
+
+
+def test_spec_from_arrow_and_regions():
+    import pyarrow as pa
+
+    kind = schema([column("ts", pa.timestamp("us", "UTC")), column("s", pa.string(), varlen_bytes=64)], table="t", schema_version=1, batch_rows=8, time_column="ts")
+    spec = TableSpec.from_arrow(kind.serialize().to_pybytes())
+    assert spec == TableSpec.load(kind) and TableSpec.from_json(spec.to_json()) == spec
+    for bad in (b"", b"nothing", kind.serialize().to_pybytes()[:40]):
+        with pytest.raises(SpecError):
+            TableSpec.from_arrow(bad)
+    with pytest.raises(SpecError, match="dictionary|outside"):
+        TableSpec.from_arrow(schema([column("ts", pa.timestamp("us")), pa.field("d", pa.dictionary(pa.int32(), pa.string()))], table="t", schema_version=1, time_column="ts").serialize().to_pybytes())
+    regions = spec.segment_regions(3)
+    edges = sorted(regions.values())
+    assert [at % 4096 for at, _ in edges] == [0] * 4 and all(a + n <= b for (a, n), (b, _) in zip(edges, edges[1:]))
+    assert regions["catalog"][1] == 192 and regions["data"][1] == 3 * spec.batch_bytes

@@ -379,3 +379,11 @@ def test_damaged_files_are_an_error(spark, tmp_path, what):
 
 def test_log_without_any_commit():
     assert state_at([], lambda name: None, "x") == State()
+
+
+def test_listing(spark, tmp_path):
+    assert TableStore(spark, f"file://{tmp_path}/none").listing() == []
+    store = TableStore.create(spark, f"file://{tmp_path}/t", spec(2), max_batches=1)
+    assert store.listing() == []
+    store.append(frame(spark, [(DAY, 1, "a"), (DAY, 2, "a"), (DAY, 3, "a"), (0, 4, "b")]), ["n"])
+    assert store.listing() == ["19700101.0.seg", "19700102.0.seg", "19700102.1.seg"]
