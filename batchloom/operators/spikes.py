@@ -46,6 +46,7 @@ _LISTS = "steps array<double>, counts array<bigint>, keys array<bigint>, beyond
 _SCAN = "kind tinyint, field int, sym string, day bigint, ts bigint, key bigint, v bigint, pos int, open int, " + _LISTS
 _SCAN_ARROW = pa.schema([("kind", pa.int8()), ("field", pa.int32()), ("sym", pa.string()), ("day", pa.int64()), ("ts", pa.int64()), ("key", pa.int64()), ("v", pa.int64()), ("pos", pa.int32()), ("open", pa.int32()), ("steps", pa.list_(pa.float64())), ("counts", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("beyond", pa.list_(pa.float64())), ("marks", pa.list_(pa.int32()))])
 IS_STUCK, IS_IMPOSSIBLE = 1, 2  # marks of a candidate
+LIST = 1024  # elements of a list in one row: no row is large in memory, however large a source
 BUCKETS = 64  # of step sizes, to one doubling
 
 
@@ -90,6 +91,12 @@ def _steps(v: np.ndarray, series: np.ndarray, source: np.ndarray, joined: np.nda
     return code[starts], step[starts], np.diff(np.append(starts, len(code)))
 
 
+def _list_starts(source: np.ndarray) -> np.ndarray:
+    """First elements of lists that hold one source each, and not more than LIST elements."""
+    first, _ = run_bounds(changes(source))
+    return np.flatnonzero((np.arange(len(source)) - first) % LIST == 0)
+
+
 def _rows(kind: int, field: np.ndarray, sym: pa.Array, **columns: np.ndarray) -> pa.RecordBatch:
     n = len(sym)
     data = {"kind": pa.array(np.full(n, kind, np.int8)), "field": pa.array(field.astype(np.int32)), "sym": sym.cast(pa.string())}
@@ -123,7 +130,7 @@ def _scan(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.Rec
             if found.any():
                 f = at[found]
                 c = field[found] * len(names) + code[f]
-                at_source = np.flatnonzero(changes(c))
+                at_source = _list_starts(c)
                 ends = pa.array(np.append(at_source, len(c)).astype(np.int32))
                 marks = (run[found] >= STUCK) * IS_STUCK + (v[found] <= 0) * IS_IMPOSSIBLE
                 lists = {"keys": pa.array(key[f], mask=~key_ok[f]), "beyond": pa.array(beyond[found]), "marks": pa.array(marks.astype(np.int32))}
@@ -131,7 +138,7 @@ def _scan(batches: Iterator[pa.RecordBatch], chunk_rows: int) -> Iterator[pa.Rec
             keyed = field * len(names) + code[at]
             c, step, n = _steps(v, series, keyed)
             if len(c):
-                at_source = np.flatnonzero(changes(c))
+                at_source = _list_starts(c)
                 ends = pa.array(np.append(at_source, len(c)).astype(np.int32))
                 lists = {k: pa.ListArray.from_arrays(ends, pa.array(values)) for k, values in (("steps", step), ("counts", n))}
                 yield _rows(HISTOGRAM, c[at_source] // len(names), names.take(pa.array(c[at_source] % len(names))), **lists)
