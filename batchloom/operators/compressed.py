@@ -1,21 +1,29 @@
 """Per-key results by value-frequency compression: group by key and value before key.
 
 The first grouping spreads a hot key over all tasks, as its values differ, and collapses repeated values before the
-shuffle. What is left, one row per distinct value with its weight, is range-partitioned by key and value, so that a hot
-key spreads over as many tasks as its values need. Counts, extremes, totals, modes and last values are partial aggregates
-of these ranges; for medians the weights of the ranges before tell which range holds the middle, and only there values
-are counted up one by one.
+shuffle. What is left, one row per distinct value with its weight, stays spread: counts, extremes, totals, modes and last
+values are partial aggregates of it. For medians the weights are added up in buckets of one per cent of the value, and
+only in the bucket that holds the middle values are counted up one by one. No task ever holds all values of a key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.timeexpr import micros
 from ..staging import stage
 from .batching import small
 
 
+BUCKETS = 64  # to one doubling of the value
+
+
+def bucket(v: Column) -> Column:
+    """A number that rises with the value, in steps of about one per cent."""
+    size = F.abs(v.cast("double"))
+    return F.when(v == 0, 0).otherwise(F.signum(v.cast("double")) * (1 + F.floor(F.log2(size) * BUCKETS))).cast("int")
+
+
 def per_key(df: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
     """Per field and key: rows, values, distinct_values, lowest, highest, total, mode, median, last_value.
 
@@ -33,8 +41,7 @@ def per_key(df: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
     ).select("key", "at", "r.f", "r.v")
     weighted = readings.groupBy("key", "f", "v").agg(F.count(F.lit(1)).alias("w"), F.max("at").alias("at"))
     has = F.col("v").isNotNull()
-    arranged = weighted.repartitionByRange("key", "f", "v").select("*", F.when(has, F.col("w")).otherwise(0).alias("held"), F.spark_partition_id().alias("part"))
-    arranged = stage(arranged, "weights")
+    arranged = stage(weighted.withColumn("held", F.when(has, F.col("w")).otherwise(0)), "weights")
     out = arranged.groupBy("key", "f").agg(
         F.sum("w").alias("rows"),
         F.sum("held").alias("values"),
@@ -46,12 +53,13 @@ def per_key(df: DataFrame, key: str, ts: str, fields: list[str]) -> DataFrame:
         F.max_by("v", F.when(has & F.col("at").isNotNull(), F.struct("at", "v"))).alias("last_value"),
     )
     # The middle two of n weighted values: the first with a running weight of at least, and of more than, half.
-    ranges = Window.partitionBy("key", "f")
-    shares = arranged.groupBy("key", "f", "part").agg(F.sum("held").alias("share"))
-    shares = shares.select("key", "f", "part", (F.sum("share").over(ranges.orderBy("part")) - F.col("share")).alias("before"), "share", F.sum("share").over(ranges).alias("all"))
-    middle = shares.where("(2 * before < all AND 2 * (before + share) >= all) OR (2 * before <= all AND 2 * (before + share) > all)").where("share > 0")
-    met = arranged.where(has).alias("r").join(small(middle).alias("m"), F.expr("r.part = m.part AND r.f = m.f AND r.key <=> m.key")).select("r.key", "r.f", "r.part", "v", "w", "before", "all")
-    upto = F.col("before") + F.sum("w").over(Window.partitionBy("part", "key", "f").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    valued = arranged.where(has).withColumn("bucket", bucket(F.col("v")))
+    group = Window.partitionBy("key", "f")
+    shares = valued.groupBy("key", "f", "bucket").agg(F.sum("w").alias("share"))
+    shares = shares.select("key", "f", "bucket", (F.sum("share").over(group.orderBy("bucket")) - F.col("share")).alias("before"), "share", F.sum("share").over(group).alias("all"))
+    middle = shares.where("(2 * before < all AND 2 * (before + share) >= all) OR (2 * before <= all AND 2 * (before + share) > all)")
+    met = valued.alias("r").join(small(middle).alias("m"), F.expr("r.bucket = m.bucket AND r.f = m.f AND r.key <=> m.key")).select("r.key", "r.f", "r.bucket", "v", "w", "before", "all")
+    upto = F.col("before") + F.sum("w").over(Window.partitionBy("key", "f", "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = met.select("key", "f", "v", "all", upto.alias("upto"))
     lower, upper = F.min(F.when(F.col("upto") * 2 >= F.col("all"), F.col("v"))), F.min(F.when(F.col("upto") * 2 > F.col("all"), F.col("v")))
     medians = ranked.groupBy("key", "f").agg(((lower.cast("double") + upper.cast("double")) / 2).alias("median"))
