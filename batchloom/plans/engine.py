@@ -21,7 +21,7 @@ from ..operators.batching import by_byte_budget, by_row_count, positions
 from ..operators.zonemap import null_counts, with_sealed, zone_map
 from ..sources.feed import BAND, BASE_PX, backfill, market
 from ..sources.render import cell
-from ..sources.spec import TableSpec, column, quotes_spec, schema, trades_spec
+from ..sources.spec import TableSpec, column, physical_kind, quotes_spec, schema, spark_type, trades_spec
 from ..sources.store import TableStore
 from ..staging import scratch
 from ..streaming.windows import sessions, windowed
@@ -381,8 +381,7 @@ def b5_null_counts(spark, base):
 
 def b15_cells(spark, base):
     """Exchange form of the types whose text does not depend on a language's float printing."""
-    kinds = {"ts": pa.timestamp("us", "UTC"), "flag": pa.bool_(), "i8": pa.int8(), "u16": pa.uint16(), "i32": pa.int32(), "i64": pa.int64(), "dec38": pa.decimal128(38, 9), "d32": pa.date32(), "t64": pa.time64("ns"), "fsb": pa.binary(16), "sym": pa.string(), "bin": pa.binary()}
-    return table(spark, base, "all_types").select(*[cell(name, kind).alias(name) for name, kind in kinds.items()])
+    return table(spark, base, "all_types").select(*[cell(name, kind).alias(name) for name, kind in _ALL_TYPES.items() if name not in ("f32", "f64")])
 
 
 def b15_floats(spark, base):
@@ -393,6 +392,65 @@ def b15_floats(spark, base):
     return shown.agg(F.count(F.lit(1)).alias("n"), F.count_if(same(F.col("text64").cast("double"), F.col("f64"))).alias("same64"), F.count_if(same(F.col("text32").cast("float"), F.col("f32"))).alias("same32"))
 
 
+_ALL_TYPES = {"ts": pa.timestamp("us", "UTC"), "flag": pa.bool_(), "i8": pa.int8(), "u16": pa.uint16(), "i32": pa.int32(), "i64": pa.int64(), "f32": pa.float32(), "f64": pa.float64(), "dec38": pa.decimal128(38, 9), "d32": pa.date32(), "t64": pa.time64("ns"), "fsb": pa.binary(16), "sym": pa.string(), "bin": pa.binary()}
+
+
+def c4_all_types(spark, base):
+    """Every accepted type, nulls, extremes, NaN and empty values through a store and back."""
+    budget = {"varlen_bytes": 1 << 26}
+    columns = [column(n, t, **(budget if n in ("sym", "bin") else {})) for n, t in _ALL_TYPES.items()]
+    spec = TableSpec.load(schema(columns, table="all_types", schema_version=1, batch_rows=512, time_column="ts", stats_column="i64"))
+    store = TableStore.create(spark, scratch(spark, "all-types"), spec, cycle="1d")
+    store.append(table(spark, base, "all_types"), ["ts", "i64", "t64"], now_us=0)
+    rows = store.snapshot().scan()
+    kind = lambda c: F.when(F.isnan(c), "nan").when(F.abs(c) == float("inf"), F.when(F.col(c) > 0, "inf").otherwise("-inf")).when(F.col(c).isNotNull(), "finite").alias(f"{c}_kind")
+    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c).cast("double") + F.lit(0.0)).alias(c)
+    plain = [n for n in _ALL_TYPES if n not in ("f32", "f64", "fsb", "bin")]
+    return rows.select(*plain, kind("f32"), finite("f32"), kind("f64"), finite("f64"), V.hex_lower(F.col("fsb")).alias("fsb"), V.hex_lower(F.col("bin")).alias("bin"))
+
+
+def c17_two_tables(spark, base):
+    """One stream of trades into two stores by side, which share an epoch; rows and epoch of each."""
+    from ..streaming.sink import append_two
+
+    source = table(spark, base, "trades")
+    stream = spark.readStream.schema(source.schema).option("recursiveFileLookup", "true").parquet(f"{base}/trades*.parquet")
+    root = scratch(spark, "two")
+    stores = {name: TableStore.create(spark, f"{root}/{name}", trades_spec(1 << 16), cycle="1d") for name in ("buys", "others")}
+    stores["others"].open_writer()
+    stores["others"].detach(0)  # a commit of a writer before this one, which hides nothing
+    buys = "upper(side) = 'B'"
+    routes = [(stores["buys"], buys, ["row_id"]), (stores["others"], f"NOT coalesce({buys}, false)", ["row_id"])]
+    append_two(stream, routes, f"{root}/checkpoint", f"two-{uuid.uuid4().hex}", once=True).awaitTermination()
+    one = lambda name: stores[name].snapshot().batches().agg(F.lit(name).alias("tbl"), F.sum("row_count").alias("n"), F.min("epoch").alias("first_epoch"), F.max("epoch").alias("last_epoch"))
+    return one("buys").unionAll(one("others"))
+
+
+def a2_types(spark, base):
+    """Physical kind and width of every column type that a table of all types uses, and what stores it."""
+    rows = [(n, *physical_kind(t), spark_type(t).simpleString()) for n, t in _ALL_TYPES.items()]
+    return spark.createDataFrame(rows, "name string, kind string, width int, stored string")
+
+
+def a7_layout(spark, base):
+    """Buffers of a batch of trades: offsets aligned to 64 bytes, none overlapping; the batch in whole pages."""
+    spec = trades_spec(1000)
+    rows = [(i, r["column"], r["validity"], r["offsets"], r["data"], r["capacity"]) for i, r in enumerate(spec.batch_layout())]
+    return spark.createDataFrame(rows, "place int, name string, validity bigint, offsets bigint, data bigint, capacity bigint").withColumn("batch_bytes", F.lit(spec.batch_bytes).cast("bigint"))
+
+
+def r14_cycles(spark, base):
+    """Roll cycles as text: minutes, or null where the text is none that divides a day."""
+    def minutes(text: str) -> int | None:
+        try:
+            return RollCycle.parse(text).minutes
+        except ValueError:
+            return None
+
+    texts = ["1m", "30m", "45m", "4h", "6h", "7h", "24h", "25h", "1d", "2d", "0m", "90s", "4x", "h", "", "1440m"]
+    return spark.createDataFrame([(t, minutes(t)) for t in texts], "cycle string, minutes int")
+
+
 def x1_x2_length_bits(spark, base):
     z = _zones(spark, base).withColumn("word", V.length_word(F.col("row_count"), F.col("sealed")))
     return z.select("batch", "word", V.row_count(F.col("word")).alias("rows"), V.in_progress(F.col("word")).alias("in_progress"))
@@ -535,7 +593,7 @@ def lineitem_zone_map(spark, base):
 
 QUERIES = {f.__name__: f for f in (
     g8_symbol_agg, g8_live_symbols, f1_batch_rowcount, g1_g2_zone_map, f3_segment_seq, f4_interval_floor, f4_f3_rotation, f2_varlen_budget, f1_lazy_seal, f8_row_by_position,
-    prune_time, prune_stat, prune_both, prune_none, prune_detached, sql_route_detached, scan_both, b3_versions, c13_empty_batches, c9_varlen_store, b16_feed, c18_backfill, r15_cycles, r17_pinned_reader, s6_idle_rotation, store_range_scan, store_catalog,
+    prune_time, prune_stat, prune_both, prune_none, prune_detached, sql_route_detached, scan_both, b3_versions, c13_empty_batches, c9_varlen_store, b16_feed, c18_backfill, r15_cycles, r17_pinned_reader, s6_idle_rotation, c4_all_types, c17_two_tables, a2_types, a7_layout, r14_cycles, store_range_scan, store_catalog,
     r18_encode_id, r18_decode_id, r7_segment_name, r8_parse_name, r9_listing_order, r10_next_seq, r11_latest_epoch, r12_interval_end, r16_retention, r19_civil_days,
     g4_in_progress_rows, g5_g6_coverage, b5_null_counts, b15_cells, b15_floats, x1_x2_length_bits, x3_layout_bytes, x4_sha256, x10_price, x11_decimal_halves, x12_unsigned, x13_hex, x14_overlap,
     s3_snapshot_freeze, s7_liveness, s7_states, s10_tumbling, s11_sliding, s11_sessions, s1_stream_append, w_asof_quote_trade, w_ohlc_4h, w_vwap, w_ref_dim_join, a10_sorted_roll, lineitem_zone_map,

@@ -75,6 +75,21 @@ SELECT version, CAST(n AS BIGINT) AS n, (n - 1) // 256 AS sealed, ts_max FROM pa
   UNION ALL SELECT 'after', count(*), min(event_id) FROM feed WHERE ts // 86400000000 IN (SELECT d FROM (SELECT DISTINCT ts // 86400000000 AS d FROM feed) ORDER BY d DESC LIMIT 3)""",
     "s6_idle_rotation": """WITH n AS (SELECT count(*) FILTER (WHERE event_id % 2 = 0) AS even, count(*) FILTER (WHERE event_id % 2 = 1) AS odd FROM events)
 SELECT CAST(0 AS INTEGER) AS moment, CAST(0 AS BIGINT) AS start_minute, even AS row_count, false AS sealed FROM n UNION ALL SELECT 1, 0, even, true FROM n UNION ALL SELECT 2, 0, even, true FROM n UNION ALL SELECT 2, 240, odd, false FROM n""",
+    "c4_all_types": "SELECT ts, flag, i8, u16, i32, i64, dec38, d32, t64, sym, lower(hex(fsb)) AS fsb, lower(hex(bin)) AS bin, " + ", ".join(f"CASE WHEN isnan({c}) THEN 'nan' WHEN isinf({c}) THEN CASE WHEN {c} > 0 THEN 'inf' ELSE '-inf' END WHEN {c} IS NOT NULL THEN 'finite' END AS {c}_kind, CASE WHEN isfinite({c}) THEN {c}::DOUBLE + 0.0::DOUBLE END AS {c}" for c in ("f32", "f64")) + " FROM all_types",
+    "c17_two_tables": """SELECT 'buys' AS tbl, count(*) AS n, CAST(2 AS BIGINT) AS first_epoch, CAST(2 AS BIGINT) AS last_epoch FROM trades WHERE upper(side) = 'B'
+  UNION ALL SELECT 'others', count(*), 2, 2 FROM trades WHERE NOT coalesce(upper(side) = 'B', false)""",
+    # Kinds and widths of the accepted types.
+    "a2_types": """SELECT * FROM (VALUES ('ts', 'FIXED', 8, 'timestamp'), ('flag', 'BOOL_BITMAP', 0, 'boolean'), ('i8', 'FIXED', 1, 'tinyint'), ('u16', 'FIXED', 2, 'int'), ('i32', 'FIXED', 4, 'int'), ('i64', 'FIXED', 8, 'bigint'),
+  ('f32', 'FIXED', 4, 'float'), ('f64', 'FIXED', 8, 'double'), ('dec38', 'FIXED', 16, 'decimal(38,9)'), ('d32', 'FIXED', 4, 'date'), ('t64', 'FIXED', 8, 'bigint'), ('fsb', 'FIXED', 16, 'binary'), ('sym', 'VARLEN', 0, 'string'), ('bin', 'VARLEN', 0, 'binary')) t(name, kind, width, stored)""",
+    # Per column a bitmap of 125 bytes, offsets of 4 x 1,001 bytes if of variable length, and its data, each from a multiple of 64.
+    "a7_layout": """WITH c AS (SELECT * FROM (VALUES (0, 'ts', 8000, false), (1, 'sym', 8000, true), (2, 'px', 8000, false), (3, 'sz', 4000, false), (4, 'side', 1000, true), (5, 'trade_id', 8000, false), (6, 'venue', 8000, true)) t(place, name, capacity, varlen)),
+  b AS (SELECT *, 0 AS part, 125 AS size FROM c UNION ALL SELECT *, 1, 4004 FROM c WHERE varlen UNION ALL SELECT *, 2, capacity FROM c),
+  o AS (SELECT *, coalesce(sum((size + 63) // 64 * 64) OVER (ORDER BY place, part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place0 FROM b)
+  SELECT place, name, CAST(max(place0) FILTER (WHERE part = 0) AS BIGINT) AS validity, CAST(max(place0) FILTER (WHERE part = 1) AS BIGINT) AS offsets, CAST(max(place0) FILTER (WHERE part = 2) AS BIGINT) AS data, CAST(max(capacity) AS BIGINT) AS capacity,
+    CAST(((SELECT max(place0 + size) FROM o) + 4095) // 4096 * 4096 AS BIGINT) AS batch_bytes FROM o GROUP BY place, name""",
+    "r14_cycles": """WITH t AS (SELECT unnest(['1m', '30m', '45m', '4h', '6h', '7h', '24h', '25h', '1d', '2d', '0m', '90s', '4x', 'h', '', '1440m']) AS cycle),
+  m AS (SELECT cycle, TRY_CAST(regexp_extract(cycle, '^([0-9]+)[mhd]$', 1) AS INTEGER) * CASE right(cycle, 1) WHEN 'm' THEN 1 WHEN 'h' THEN 60 WHEN 'd' THEN 1440 END AS n FROM t)
+  SELECT cycle, CASE WHEN n BETWEEN 1 AND 1440 AND 1440 % n = 0 THEN n END AS minutes FROM m""",
     "store_range_scan": "SELECT ts, sym, bid_px, ask_px, bid_sz, ask_sz, venue FROM quotes WHERE epoch_us(ts) >= 1452470400000000 AND epoch_us(ts) < 1452556800000000 AND bid_px BETWEEN 100000 AND 900000",
     "store_catalog": _STORE + """SELECT interval_start, CAST(pos // 131072 AS INTEGER) AS seq, pos // 8192 % 16 AS batch, count(*) AS row_count, min(t) AS ts_min, max(t) AS ts_max,
   min(bid_px) AS stat_min, max(bid_px) AS stat_max, true AS sealed FROM p GROUP BY interval_start, pos // 131072, pos // 8192 % 16""",
