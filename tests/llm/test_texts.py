@@ -149,3 +149,26 @@ def test_spans_of_copies_and_nothing(spark):
     assert got == {(1, 0, 260), (2, 0, 260), (3, 0, 260), (5, 0, 100)}
     assert spans.shared_spans(documents(spark, [(1, text), (1, text)]), "doc_id", "text").count() == 0
     assert spans.shared_spans(documents(spark, []), "doc_id", "text").count() == 0
+
+
+@pytest.mark.parametrize("points, rows_of_a_seed", [(2_000_000, 4096), (700, 5)])
+def test_spans_around_a_seed_of_a_third_of_all_rows(spark, monkeypatch, points, rows_of_a_seed):
+    monkeypatch.setattr(spans, "OPEN_ROWS", rows_of_a_seed)
+    r = random.Random(21)
+    some = lambda n: "".join(r.choice("abcdefghij") for _ in range(n))
+    common, left, right = some(14), some(9), some(9)
+    docs = []
+    for d in range(500):
+        before, after = some(25), some(25)
+        if d % 3 == 0:
+            before = before[:16] + (left if r.random() < 0.5 else left[r.randrange(9) :].rjust(9, r.choice("xyz")))
+            after = (right[: r.randrange(10)] + after)[:25]
+            docs.append((d, before + common + after))
+        elif d % 3 == 1:
+            docs.append((d, some(70)))
+        else:
+            docs.append((d, before + common[: r.randrange(14)] + after))
+    docs += [(600 + d, docs[0][1]) for d in range(150)]  # and one text on many rows
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(2)
+    rows = spans.shared_spans(frame, "doc_id", "text", 20, 6, points).collect()
+    assert {tuple(x) for x in rows} == brute_spans(docs, 20) and len(rows) == len(set(rows)) > 200
