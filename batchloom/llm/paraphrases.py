@@ -43,9 +43,10 @@ def totals(space: np.ndarray, flat: np.ndarray) -> np.ndarray:
 
 def project(upto: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Unit latent vectors of the windows; zero where nothing is known of any word."""
-    v = upto[end] - upto[first]
-    norm = np.linalg.norm(v, axis=1, keepdims=True)
-    return np.where(norm > 1e-9, v / np.maximum(norm, 1e-9), 0).astype(np.float32)
+    v = (upto[end] - upto[first]).astype(np.float32)
+    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    v *= np.where(norm > 1e-9, 1 / np.maximum(norm, 1e-9), 0).astype(np.float32)[:, None]
+    return v
 
 
 def signatures(flat: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
