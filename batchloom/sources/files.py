@@ -31,6 +31,10 @@ class Files:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
+    def modified(self, name: str) -> float:
+        """Seconds since 1970 of the last change."""
+        return self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
+
     def read(self, name: str) -> str | None:
         path = self._path(name)
         if not self._fs.exists(path):

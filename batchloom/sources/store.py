@@ -361,20 +361,28 @@ class TableStore:
         return gone
 
     def vacuum(self, grace_seconds: float = 3600) -> int:
-        """Delete the files of segments that were tombstoned longer ago than the grace period."""
-        state = self.state()
+        """Delete the files of segments that were tombstoned longer ago than the grace period, and what attempts that old
+        left behind without a commit (a writer that was killed); returns the number of folders."""
+        state, removed = self.state(), 0
         old = [int(s) for s, at in state.tombstones.items() if time.time() - at >= grace_seconds]
-        if not old:
-            return 0
-        dead = self.spark.createDataFrame([(s,) for s in old], "segment_id bigint")
-        folders = self.partials(state).join(dead, "segment_id", "left_semi").select(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).distinct()
-        removed = 0
-        for (folder,) in folders.toLocalIterator():
-            if self.files.exists(f"data/{folder}"):
-                self.files.delete(f"data/{folder}")
-                removed += 1
+        if old:
+            dead = self.spark.createDataFrame([(s,) for s in old], "segment_id bigint")
+            folders = self.partials(state).join(dead, "segment_id", "left_semi").select(F.regexp_extract("file", "^(.*)/[^/]*$", 1)).distinct()
+            for (folder,) in folders.toLocalIterator():
+                removed += self._drop(f"data/{folder}")
+        named = {r[0] for r in self.partials(state).select(F.regexp_extract("file", "^commit=([^/]*)/", 1)).distinct().toLocalIterator()} | set(state.attempts)
+        for folder, prefix in (("data", "commit="), ("_batches", "")):
+            for name in self.files.names(folder):
+                if name.removeprefix(prefix) not in named and time.time() - self.files.modified(f"{folder}/{name}") >= grace_seconds:
+                    removed += self._drop(f"{folder}/{name}")
         return removed
 
+    def _drop(self, name: str) -> int:
+        there = self.files.exists(name)
+        if there:
+            self.files.delete(name)
+        return int(there)
+
 
 class Snapshot:
     """A table at one version."""

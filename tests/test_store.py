@@ -387,3 +387,15 @@ def test_listing(spark, tmp_path):
     assert store.listing() == []
     store.append(frame(spark, [(DAY, 1, "a"), (DAY, 2, "a"), (DAY, 3, "a"), (0, 4, "b")]), ["n"])
     assert store.listing() == ["19700101.0.seg", "19700102.0.seg", "19700102.1.seg"]
+
+
+def test_vacuum_removes_what_a_killed_writer_left(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("batchloom.sources.store.DIGEST_EVERY", 2)
+    store = TableStore.create(spark, f"file://{tmp_path}/t", spec(4))
+    for k in range(3):
+        store.append(frame(spark, [(k, k, "a")]), ["n"])
+    for name in ("data/commit=000000000004-killed/segment=1", "_batches/000000000004-killed"):
+        (tmp_path / "t" / name).mkdir(parents=True)
+    assert store.vacuum(3600) == 0 and store.vacuum(0) == 2
+    assert len(store.files.names("data")) == len(store.files.names("_batches")) == 3
+    assert store.snapshot().scan().count() == 3
