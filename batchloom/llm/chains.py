@@ -1,20 +1,21 @@
 """Fuzzy passages that two records share, by collinear chaining of seeds.
 
-Seeds (k-mers chosen by content) are joined across records. A unit is the shortest stretch of consecutive seeds of a
-record whose chain with a verbatim copy scores enough. Holders of one unit are copies: each is linked to the first one,
-which stands for all of them. What remains are seeds in no shared unit and those of first holders. These are matched by
-pairs of seeds: a chain that scores enough has a step that costs less than the seed it leads to earns, so that two
-records with a passage in common share two seeds, in one order, less than ``REACH`` apart. Grouping by two seeds instead
-of one spares the pairs of records that have no more than a common phrase in common, which grow with the square of the
-corpus. All matches of one pair of records that rise in both are chained with a linear gap cost. With such a cost the
-best chain that ends before a point is a prefix maximum, which a Fenwick tree over the second record's positions answers
-in logarithmic time. A chain that scores enough is aligned: the two stretches it spans are compared by the length of their
-longest common subsequence.
-
-A passage of two records is thus reported for the pair itself or leads from one to the other by way of first holders.
-That is certain where it holds a unit, and where both records keep the seeds of one of its steps. In between, a passage
-whose records hold it as copies of several first holders, none of which has enough of it, can stay unconnected;
-``exact`` keeps the seeds of all holders and has no such case, but its pairs grow with the square of the copies.
+Seeds (k-mers chosen by content) are joined across records. All matches of one pair of records that rise in both are
+chained with a linear gap cost. With such a cost the best chain that ends before a point is a prefix maximum, which a
+Fenwick tree over the second record's positions answers in logarithmic time. A chain that scores enough is aligned: the
+two stretches it spans are compared by the length of their longest common subsequence.
+
+Every pair of records with a passage is reported for itself, so that the rows of a passage that many records hold grow
+with the square of its holders. What is done for each pair is kept small: pairs are dealt to cells in which all of their
+matches meet, pairs with too few matches for any chain are left at once, a pattern of matches that many pairs have is
+chained once, stretches of the same text need no alignment, and of the others each two texts are aligned once.
+
+Without ``exact`` only links are reported, with work in proportion to the holders. A unit is the shortest stretch of
+consecutive seeds of a record whose chain with a verbatim copy scores enough. Holders of one unit are copies: each is
+linked to the first one, which stands for all of them. What remains are seeds in no shared unit and those of first
+holders. These are matched by pairs of seeds, in one order, less than ``REACH`` apart. Links can be lost: where records
+hold a passage as copies of several first holders none of which has enough of it, where a seed of a chain stands alone,
+and where all seeds of a passage are the same. The registered query does not use this form.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..staging import stage
-from .spans import Flat, _pieces, mix, seeds
+from .spans import _BASE, _INVERSE, Flat, _pieces, _powers, mix, seeds
 
 K, STRETCH = 16, 48
 GAP_COST, LEAST_SCORE, LEAST_SHARE = 0.2, 60.0, 0.8
@@ -35,6 +36,10 @@ UNIT_STEPS = 7  # of 8 bits in one integer; a step of 33 positions, the longest
 REACH = 160  # positions: a step of less than 80 on the average of both sides costs less than a seed earns
 BLOCK_ROWS = 20_000  # of one pair of seeds that meet in one cell
 PAIRS = 500_000  # in one Arrow batch
+GROUP_ROWS = 200_000  # seeds of a group of records
+POINTS = 1_000_000  # matches at a time
+FEWEST = int(-(-LEAST_SCORE // K))  # matches of a chain that scores enough
+KEPT = 100_000  # patterns of matches whose chains are kept
 NOBODY = np.iinfo(np.int64).min
 
 
@@ -201,11 +206,12 @@ def pairs_within(group: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         a = b
 
 
-def shared_passages(df: DataFrame, key: str, text: str, exact: bool = False) -> DataFrame:
+def shared_passages(df: DataFrame, key: str, text: str, exact: bool = True) -> DataFrame:
     """(key, partner, start, end, partner_start, partner_end, share): passages alike in two records, key above partner.
 
     ``share`` is the longest common subsequence over the longer of the two stretches, at least LEAST_SHARE. Null keys
-    and texts give nothing; rows that share a key are one record; an empty table gives no rows.
+    and texts give nothing; rows that share a key are one record; an empty table gives no rows. Without ``exact`` copies
+    are only linked to their first holder: fewer rows, and not every pair is connected by them.
     """
     texts = df.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("t")).where("id IS NOT NULL AND t IS NOT NULL")
 
@@ -216,12 +222,211 @@ def shared_passages(df: DataFrame, key: str, text: str, exact: bool = False) ->
             first = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else at
             at, hashes = at[first], hashes[first]
             piece = flat.text[at]
-            unit, steps = units(flat, at)
+            unit, steps = (np.zeros(len(at), np.uint64), np.zeros(len(at), np.int64)) if exact else units(flat, at)
             whole = mix(mix((flat.sums[flat.end] - flat.sums[flat.begin]) * flat.inverse[np.minimum(flat.begin, flat.n - 1)]) ^ mix(base))
-            columns = [ids[piece], whole[piece], at - flat.begin[piece] + base[piece], hashes, unit, steps]
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["id", "piece", "pos", "seed", "unit", "steps"])
+            before = (flat.sums[at] - flat.sums[flat.begin[piece]]) * flat.inverse[flat.begin[piece]] * powers(_BASE, base)[piece]
+            columns = [ids[piece], whole[piece], at - flat.begin[piece] + base[piece], hashes, unit, steps, before + whole[piece]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["id", "piece", "pos", "seed", "unit", "steps", "before"])
 
-    found = stage(texts.mapInArrow(scan, "id bigint, piece bigint, pos bigint, seed bigint, unit bigint, steps bigint"), "passage-seeds")
+    found = stage(texts.mapInArrow(scan, "id bigint, piece bigint, pos bigint, seed bigint, unit bigint, steps bigint, before bigint"), "passage-seeds")
+    out = _all_pairs(found.select("id", "pos", "seed", "before"), texts) if exact else _linked(found.drop("before"), texts)
+    return out.withColumnsRenamed({"id": key, "a0": "start", "a1": "end", "b0": "partner_start", "b1": "partner_end"})
+
+
+def powers(base: int, exponent: np.ndarray) -> np.ndarray:
+    """base to each exponent, modulo 2**64."""
+    top = int(exponent.max(initial=0))
+    out = _powers(base, 1 << 16)[exponent & 0xFFFF]
+    return out * _powers(pow(base, 1 << 16, 1 << 64), (top >> 16) + 1)[exponent >> 16] if top >> 16 else out
+
+
+class Side:
+    """Seeds of a group of records in order of record and position; ``before`` sums up the text before each."""
+
+    def __init__(self, rows: np.ndarray):
+        rows = rows[np.lexsort(rows[:, [3, 0, 2, 1]].T)]
+        rows = rows[np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))] if len(rows) else rows
+        self.seed, self.id, self.pos, self.before = np.ascontiguousarray(rows.T)
+        new = np.flatnonzero(np.append(True, self.id[1:] != self.id[:-1])) if len(rows) else np.empty(0, np.int64)
+        size = np.diff(np.append(new, len(rows)))
+        self.record, self.rank = np.repeat(np.arange(len(new)), size), np.arange(len(rows)) - np.repeat(new, size)
+        self.first, self.longest = new, int(size.max(initial=1))
+
+
+def meetings(a: Side, b: Side) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (i of ``a``, j of ``b``) of one seed, id of j below that of i, about POINTS at a time; whole pairs of records,
+    one after another, by i then j. Pairs with too few for a chain are left away."""
+    if not len(a.id) or not len(b.id):
+        return
+    order = np.argsort(b.seed, kind="stable")
+    known, of_b = np.unique(b.seed, return_inverse=True)
+    place = of_b[order] * np.int64(len(order) + 1) + order
+    of_a = np.minimum(np.searchsorted(known, a.seed), len(known) - 1)
+    lower = np.searchsorted(b.id, a.id)
+    low = np.searchsorted(place, of_a * np.int64(len(order) + 1))
+    count = np.searchsorted(place, of_a * np.int64(len(order) + 1) + lower) - low
+    count[known[of_a] != a.seed] = 0
+    done = np.append(0, np.cumsum(count))
+    stops = np.append(a.first[1:], len(a.id))
+    shift_i, shift_j, shift_b = (int(n).bit_length() for n in (a.longest, b.longest, len(b.first)))
+    begin = 0
+    while begin < len(stops):
+        start = a.first[begin]
+        until = max(begin + 1, int(np.searchsorted(done[stops], done[start] + POINTS, "right")))
+        size = count[start : stops[until - 1]]
+        i = np.repeat(np.arange(start, stops[until - 1]), size)
+        if len(i):
+            j = order[np.repeat(low[start : stops[until - 1]] - (done[start : stops[until - 1]] - done[start]), size) + np.arange(len(i))]
+            if (until - begin).bit_length() + shift_b + shift_i + shift_j < 64:
+                # One integer of record, other record and the two ranks, as sorting integers is much faster than sorting rows.
+                point = (((a.record[i] - begin) << shift_b | b.record[j]) << shift_i | a.rank[i]) << shift_j | b.rank[j]
+                point.sort()
+                pair = point >> (shift_i + shift_j)
+                many = _at_least(pair, FEWEST)
+                point, pair = point[many], pair[many]
+                i = a.first[(pair >> shift_b) + begin] + ((point >> shift_j) & ((1 << shift_i) - 1))
+                j = b.first[pair & ((1 << shift_b) - 1)] + (point & ((1 << shift_j) - 1))
+            else:
+                sort = np.lexsort((j, i, b.record[j], a.record[i]))
+                i, j = i[sort], j[sort]
+                many = _at_least(a.record[i] * np.int64(len(b.first)) + b.record[j], FEWEST)
+                i, j = i[many], j[many]
+            if len(i):
+                yield i, j
+        begin = until
+
+
+def _at_least(group: np.ndarray, n: int) -> np.ndarray:
+    """Whether each row is in a group of ``n`` rows or more; rows are in order of group."""
+    size = np.diff(np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group)))
+    return np.repeat(size >= n, size)
+
+
+def ends(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(first match, last match, part, inside) of the chains (part 0) and other straight stretches (part 1), inside: of a chain."""
+    chained = [(c[0], c[-1]) for c in best_chains(x, y, K, GAP_COST, LEAST_SCORE)]
+    out = [(c, d, 0, 0) for c, d in chained]
+    for c, d in straight(x, y):
+        if (c, d) not in chained:
+            out.append((c, d, 1, int(any(x[p] <= x[c] and x[d] <= x[q] and y[p] <= y[c] and y[d] <= y[q] for p, q in chained))))
+    return out
+
+
+class Chains:
+    """Chains of pairs of records. They do not depend on where a pair's matches begin; those of a pattern are kept."""
+
+    def __init__(self):
+        self.known: dict[int, list[tuple[int, int, int, int]]] = {}
+
+    def of(self, a: Side, b: Side, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        """Columns of _CHAINED of whole pairs. ``left`` and ``right`` tell the texts of the stretches; 0: settled as verbatim."""
+        pair = a.record[i] * np.int64(len(b.first)) + b.record[j]
+        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
+        size = np.diff(np.append(first, len(pair)))
+        x, y = a.pos[i], b.pos[j]
+        moved_x, moved_y = x - np.repeat(x[first], size), y - np.repeat(y[first], size)
+        pattern = mix(np.add.reduceat(mix(mix(moved_x) + moved_y.view(np.uint64)), first)) ^ mix(size)
+        each, example, which = np.unique(pattern, return_index=True, return_inverse=True)
+        found = []
+        for h, e in zip(each.tolist(), example.tolist()):
+            own = self.known.get(h)
+            if own is None:
+                own = ends(x[first[e] : first[e] + size[e]] - x[first[e]], y[first[e] : first[e] + size[e]] - y[first[e] : first[e] + size[e]].min())
+                if len(self.known) < KEPT:
+                    self.known[h] = own
+            found.append(own)
+        n = np.array([len(f) for f in found])
+        table = np.array([e for f in found for e in f], np.int64).reshape(-1, 4)
+        count = n[which]
+        of = np.repeat(np.arange(len(first)), count)
+        row = table[np.repeat((np.cumsum(n) - n)[which] - (np.cumsum(count) - count), count) + np.arange(len(of))]
+        c, d, part, inside = first[of] + row[:, 0], first[of] + row[:, 1], row[:, 2], row[:, 3] > 0
+        left, right = (((s.before[r[d]] - s.before[r[c]]).view(np.uint64) * powers(_INVERSE, s.pos[r[c]])).view(np.int64) for s, r in ((a, i), (b, j)))
+        verbatim = (left == right) & (x[d] - x[c] == y[d] - y[c])
+        # A pair is open if a chain, or a stretch in none, must be compared by its letters.
+        open_ = np.bincount(of[~verbatim & ~inside], minlength=len(first))[of] > 0
+        keep = open_ | ~inside
+        columns = [a.id[i[c]], b.id[j[c]], x[c], x[d] + K, y[c], y[d] + K, part, left * open_, right * open_, open_.astype(np.int64)]
+        return [v[keep] for v in columns]
+
+
+def told(texts: list[str], h: int) -> list[str]:
+    """Those of ``texts`` that ``left`` or ``right`` tells: a record of several rows has several at one place."""
+    if len(texts) == 1:
+        return texts
+    return [t for t in texts if Flat([t[:-K]]).sums[-1:].view(np.int64)[0] == h] or texts
+
+
+_CHAINED = ["id", "partner", "a0", "a1", "b0", "b1", "part", "left", "right", "open"]
+
+
+def _all_pairs(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages of all pairs of records.
+
+    Records are dealt to groups. Any two records meet in one cell, that of their two groups, with all of their common
+    seeds; a seed goes only to cells in which two records hold it. The work is that of the pairs of records that have
+    seeds in common, and the rows are those of the pairs that have a passage in common.
+    """
+    spark = found.sparkSession
+    common = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("seed")
+    shared = stage(found.join(common, "seed"), "passage-shared")
+    groups = max(1, -(-shared.count() // GROUP_ROWS), min(int(spark.conf.get("spark.sql.shuffle.partitions")), 12))
+    dealt = shared.withColumn("g", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int"))
+    held = dealt.groupBy("seed", "g").agg((F.min("id") < F.max("id")).alias("many"))
+    held = held.groupBy("seed").agg(F.collect_list(F.struct("g", "many")).alias("held"))
+    others = F.expr("transform(filter(held, h -> h.g <> g OR h.many), h -> h.g)")
+    cells = dealt.join(held, "seed").select("seed", "id", "pos", "before", "g", F.explode(others).alias("h"))
+    cell = F.least("g", "h").cast("bigint") * groups + F.greatest("g", "h")
+    cells = cells.select(cell.alias("cell"), (F.col("g") > F.col("h")).cast("bigint").alias("side"), "seed", "id", "pos", "before")
+    tasks = min(groups * (groups + 1) // 2, 2000)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chains = Chains()
+        for rows in _whole_groups(batches, 1):
+            for cell in np.split(rows, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1):
+                a, b = (Side(cell[cell[:, 1] == s, 2:]) for s in (0, 1))
+                same = cell[0, 0] // groups == cell[0, 0] % groups
+                for one, other in [(a, a)] if same else [(a, b), (b, a)]:
+                    for i, j in meetings(one, other):
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in chains.of(one, other, i, j)], names=_CHAINED)
+
+    met = cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(meet, ", ".join(f"{c} bigint" for c in _CHAINED))
+    chained = stage(met, "passages-chained")
+    places = ["id", "partner", "a0", "a1", "b0", "b1"]
+    settled = chained.where("open = 0").select(*places, F.lit(1.0).alias("share"))
+
+    # Stretches of one text are compared once.
+    opened = chained.where("open = 1").withColumn("m", F.expr("a1 - a0")).withColumn("n", F.expr("b1 - b0"))
+    pairs = opened.where("left <> right OR m <> n").select("left", "m", "right", "n").distinct()
+    stretch = opened.select(F.col("left").alias("h"), F.col("m").alias("size"), "id", F.col("a0").alias("at")).unionAll(opened.select("right", "n", "partner", "b0"))
+    stretch = stretch.groupBy("h", "size").agg(F.min(F.struct("id", "at")).alias("one")).select("h", "size", "one.id", "one.at")
+    stretch = stretch.join(texts, "id").groupBy("h", "size").agg(F.collect_set(F.substring("t", F.col("at").cast("int") + 1, F.col("size").cast("int"))).alias("text"))
+    named = lambda h, size, text: stretch.withColumnsRenamed({"h": h, "size": size, "text": text})
+    pairs = pairs.join(named("left", "m", "left_text"), ["left", "m"]).join(named("right", "n", "right_text"), ["right", "n"])
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sides = (zip(*(b.column(c).to_pylist() for c in names)) for names in (("left_text", "left"), ("right_text", "right")))
+            both = [(told(*one), told(*other)) for one, other in zip(*sides)]
+            share = pa.array([max(1.0 if x == y else common_subsequence(x, y) / max(len(x), len(y), 1) for x in one for y in other) for one, other in both], pa.float64())
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("left", "m", "right", "n")] + [share], names=["left", "m", "right", "n", "share"])
+
+    shares = pairs.mapInArrow(align, "left bigint, m bigint, right bigint, n bigint, share double").where(F.col("share") >= LEAST_SHARE)
+    same = (F.col("left") == F.col("right")) & (F.col("m") == F.col("n"))
+    alike = opened.where(same).withColumn("share", F.lit(1.0)).select(*places, "part", "share")
+    alike = stage(alike.unionAll(opened.where(~same).join(shares, ["left", "m", "right", "n"]).select(*places, "part", "share")), "passages-aligned")
+    return settled.unionAll(_with_stretches(alike))
+
+
+def _with_stretches(aligned: DataFrame) -> DataFrame:
+    """Chains and the straight stretches that lie in none: a chain may run on from a good stretch through too little."""
+    inside = (F.col("p.id") == F.col("c.id")) & (F.col("p.partner") == F.col("c.partner")) & F.expr("p.a0 >= c.a0 AND p.a1 <= c.a1 AND p.b0 >= c.b0 AND p.b1 <= c.b1")
+    whole = aligned.where("part = 0")
+    return whole.unionAll(aligned.where("part = 1").alias("p").join(whole.alias("c"), inside, "left_anti")).drop("part")
+
+
+def _linked(found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Passages of records with the first holder of each unit and, for seeds in none, with one another."""
     n = F.count(F.lit(1)).cast("bigint").alias("n")
     common = found.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), n).where("lo < hi").select("seed", "n")
     held = found.where("unit <> 0").groupBy("unit").agg(F.min(F.struct("id", "pos")).alias("first"), F.max("id").alias("hi")).where("first.id < hi")
@@ -253,7 +458,7 @@ def shared_passages(df: DataFrame, key: str, text: str, exact: bool = False) ->
             for a, _, to in spread(place, steps, i):
                 covered[to] = True
                 own[to[(first_id[a] == doc[a]) & (first_pos[a] == pos[a])]] = True
-            a, b = close_pairs(place, np.flatnonzero(~covered | own | exact), seed)
+            a, b = close_pairs(place, np.flatnonzero(~covered | own), seed)
             columns = [mix(mix(seed[a]) + seed[b].view(np.uint64)).view(np.int64), np.minimum(n[a], n[b]), doc[a], pos[a], pos[b]]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "least", "id", "pos", "next"])
 
@@ -269,7 +474,7 @@ def shared_passages(df: DataFrame, key: str, text: str, exact: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (a, b, x, y)], names=["id", "partner", "pos", "at"])
 
     matched, paired = "id bigint, partner bigint, pos bigint, at bigint", "key bigint, least bigint, id bigint, pos bigint, next bigint"
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = shared.repartition(tasks, "id").sortWithinPartitions("id", "piece", "pos")
     pairs = ordered.mapInArrow(keys, paired)
     # Only two seeds that are both frequent can be frequent together; such pairs meet block by block.
@@ -326,8 +531,4 @@ def shared_passages(df: DataFrame, key: str, text: str, exact: bool = False) ->
             yield pa.RecordBatch.from_arrays([b.column(c).take(good) for c in names] + [pa.array(share).take(good)], names=[*names, "share"])
 
     aligned = stage(sides.repartition(tasks, "id", "partner").mapInArrow(align, "id bigint, partner bigint, a0 bigint, a1 bigint, b0 bigint, b1 bigint, part bigint, share double").distinct(), "passages-aligned")
-    # A chain may run on from a good stretch through too little; the stretch then stands for itself.
-    inside = (F.col("p.id") == F.col("c.id")) & (F.col("p.partner") == F.col("c.partner")) & F.expr("p.a0 >= c.a0 AND p.a1 <= c.a1 AND p.b0 >= c.b0 AND p.b1 <= c.b1")
-    whole = aligned.where("part = 0")
-    out = whole.unionAll(aligned.where("part = 1").alias("p").join(whole.alias("c"), inside, "left_anti")).drop("part").distinct()
-    return out.withColumnsRenamed({"id": key, "a0": "start", "a1": "end", "b0": "partner_start", "b1": "partner_end"})
+    return _with_stretches(aligned).distinct()
